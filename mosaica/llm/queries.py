@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaica.llm import bpe, decontaminate, line_dedup
+from mosaica.llm import bpe, decontaminate, line_dedup, minhash, token_records
+from mosaica.llm.common import fresh_path
 
 #: Where the public tokenizer files are; a name of a file there is the production parameter.
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -49,9 +50,19 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), text_sha256("decoded").alias("decoded_sha256"))
 
 
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-records")
+    token_records.write_records(table(spark, sf_dir, "documents"), path, vocabulary(WORD_BPE), end_id=1)
+    return token_records.positions(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op6_benchmark_decontamination, op7_byte_bpe)}
+    return {f.__name__: f for f in (op2_line_dedup, op5_token_records, op6_benchmark_decontamination, op7_byte_bpe, op8_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op8_minhash_dedup": minhash.ORACLE}
