@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaica.llm import bpe, decontaminate, line_dedup, minhash, token_records
-from mosaica.llm.common import fresh_path
+from mosaica.llm import bpe, decontaminate, embed_dedup, langid, line_dedup, minhash, quality, token_counts, token_records
+from mosaica.llm.common import fresh_path, in_training_fold
 
 #: Where the public tokenizer files are; a name of a file there is the production parameter.
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -28,6 +28,10 @@ def text_sha256(column: str):
     return F.sha2(F.coalesce(F.col(column), F.lit("")).cast("binary"), 256)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", text_sha256("text").alias("kept_sha256"))
@@ -50,6 +54,21 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), text_sha256("decoded").alias("decoded_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(in_training_fold(F.col("doc_id"))))
+    out = langid.predict(docs, model)
+    return out.select("doc_id", F.coalesce(~in_training_fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(in_training_fold(F.col("doc_id"))))
+    out = quality.score(docs, model)
+    held_out = F.coalesce(~in_training_fold(F.col("doc_id")), F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-records")
     token_records.write_records(table(spark, sf_dir, "documents"), path, vocabulary(WORD_BPE), end_id=1)
@@ -60,8 +79,23 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(PIECES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op5_token_records, op6_benchmark_decontamination, op7_byte_bpe, op8_minhash_dedup)}
+    own = (
+        op1_embedding_dedup,
+        op2_line_dedup,
+        op3_language_id,
+        op4_quality_classifier,
+        op5_token_records,
+        op6_benchmark_decontamination,
+        op7_byte_bpe,
+        op8_minhash_dedup,
+        op10_token_counts,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
