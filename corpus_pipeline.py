@@ -1,4 +1,8 @@
-"""From raw documents to encoded training text, in stages."""
+"""From raw documents to encoded training text, in stages.
+
+Each stage calls one operator and takes effect on all the documents that the
+stage before it kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -7,24 +11,60 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaica.llm import line_dedup
+from mosaica.llm import bpe, decontaminate, line_dedup, minhash, quality
+from mosaica.llm.common import fresh_path, in_training_fold
+from mosaica.llm.queries import BYTE_BPE, table, text_sha256, vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Score that a document must reach to stay.
+QUALITY = 0.7
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from labels outside the held-out fold."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(in_training_fold(F.col("doc_id"))))
+    return docs.where(quality.score_column(spark, model, F.col("text")) >= QUALITY)
 
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go from the texts; n_chars follows."""
     out = line_dedup.drop_lines(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")))
     return out.select(*docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("lines", lines)]
+def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays. Repeated rows stay once; rows without an id stay."""
+    found = minhash.near_duplicates(docs, shingle=5, percent=80)
+    lost = found.where(~F.col("kept")).select("doc_id")
+    return docs.join(lost, "doc_id", "left_anti").dropDuplicates()
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    hit = decontaminate.hits_column(spark, F.col("text"), table(spark, sf_dir, "benchmark"))
+    return docs.withColumn("__hit", hit).where("__hit.n_hit = 0").select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text, checked by decoding them: doc_id, n_tokens, ids (little-endian unsigned 32-bit), ids_sha256, decoded_sha256."""
+    out = bpe.encode(docs, vocabulary(BYTE_BPE), decoded=True)
+    n = (F.length("ids") / 4).cast("long")
+    return out.select("doc_id", n.alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), text_sha256("decoded").alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", good_documents),
+    ("lines", fresh_lines),
+    ("near_duplicates", unlike_documents),
+    ("decontamination", uncontaminated),
+    ("encoding", encoded),
+]
+#: The classifier's stage has no form in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from mosaica.llm.common import fresh_path
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         out = fresh_path(spark, f"stage-{name}")

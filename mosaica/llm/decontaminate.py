@@ -8,12 +8,13 @@ ASCII, so a byte table normalises. Spans are mapped back to the original text.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WINDOW = 10
 #: Bytes of item text that one automaton takes; more items go to further passes.
@@ -74,8 +75,11 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(ends[b - 1])) for a, b in zip(run[0::2], run[1::2], strict=True)]
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per row of `docs`: id, n_words, n_hit, item_ids (sorted as strings) and hit_spans.
+RESULT = "n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<start:int,end:int>>"
+
+
+def hits_column(spark: SparkSession, text: str | Column, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> Column:
+    """A column of structs: n_words, n_hit, item_ids (sorted as strings) and hit_spans of each text.
 
     A window is `window` consecutive words of an item; an item of fewer words,
     but not none, is one window. Null texts have no words; null item ids are
@@ -83,10 +87,9 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     of its own: what is broadcast has that bound, and further groups take
     further passes in the same task.
     """
-    spark = docs.sparkSession
     groups: list[list] = [[]]
     room = MAX_ITEM_BYTES
-    for r in items.select(item_id, item_text).where(f"`{item_id}` is not null").toLocalIterator():
+    for r in items.select(item_id, item_text).where(F.col(item_id).isNotNull()).toLocalIterator():
         cost = len(r[1] or "")
         if cost > room and groups[-1]:
             groups.append([])
@@ -95,27 +98,30 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         room -= cost
     shared = [spark.sparkContext.broadcast(g) for g in groups]
 
-    def run(batches):
+    @F.pandas_udf(RESULT)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         machines = [automaton(g.value, window) for g in shared]
-        for pdf in batches:
-            out = defaultdict(list)
-            for text in pdf["text"]:
+        for column in batches:
+            rows = []
+            for text in column:
+                text = text if isinstance(text, str) else None
                 n, mask, ids = 0, None, set()
                 for m in machines:
                     n, hit, own = scan(m, text)
                     ids |= own
                     if hit is not None:
                         mask = hit if mask is None else mask | hit
-                out["n_words"].append(n)
-                out["n_hit"].append(0 if mask is None else int(mask.sum()))
-                out["item_ids"].append(sorted(map(str, ids)))
-                out["hit_spans"].append([] if mask is None else [{"start": a, "end": b} for a, b in spans(text, mask)])
-            yield pd.DataFrame({"id": pdf["id"], **out})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    read = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
-    out = read.mapInPandas(run, f"id {kind}, n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<start:int,end:int>>")
-    return out.withColumnRenamed("id", id_col)
+                at = [] if mask is None else [{"start": a, "end": b} for a, b in spans(text, mask)]
+                rows.append((n, 0 if mask is None else int(mask.sum()), sorted(map(str, ids)), at))
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "item_ids", "hit_spans"])
+
+    return found(text)
+
+
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """Per row of `docs`: id, n_words, n_hit, item_ids and hit_spans, as `hits_column` has them."""
+    got = docs.select(F.col(id_col), hits_column(docs.sparkSession, F.col(text_col), items, **how).alias("__hit"))
+    return got.select(id_col, "__hit.*")
 
 
 ORACLE = r"""

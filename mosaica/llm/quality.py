@@ -8,9 +8,11 @@ are learned together from the labels of whole documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaica.llm import minhash
@@ -155,20 +157,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train_bags(x, got["n"].to_numpy(), got["y"].to_numpy())
 
 
-def score(docs: DataFrame, model: dict | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of `docs`: id and score, 0 to 1, from the whole text; null and empty texts are bags of one passage without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+def score_column(spark: SparkSession, model: dict | float, text: str | Column) -> Column:
+    """A column of scores, 0 to 1, of whole texts; null and empty texts are bags of one passage without words."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         p = shared.value
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+        for column in batches:
+            texts = [t if isinstance(t, str) else "" for t in column]
             out = np.full(len(texts), p if isinstance(p, float) else 0.0)
             if not isinstance(p, float):
                 for a, b in slices(texts, 1_000_000):
                     out[a:b] = score_bags(*passages(texts[a:b]), p)
-            yield pd.DataFrame({"id": pdf["id"].array, "score": out})
+            yield pd.Series(out)
 
-    read = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
-    return read.mapInPandas(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return scored(text)
+
+
+def score(docs: DataFrame, model: dict | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of `docs`: id and score."""
+    return docs.select(F.col(id_col), score_column(docs.sparkSession, model, F.col(text_col)).alias("score"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaica.llm import bpe, decontaminate, embed_dedup, langid, line_dedup, minhash, quality, token_counts, token_records
+from mosaica.llm import bpe, decontaminate, embed_dedup, html_extract, langid, line_dedup, minhash, quality, token_counts, token_records
 from mosaica.llm.common import fresh_path, in_training_fold
 
 #: Where the public tokenizer files are; a name of a file there is the production parameter.
@@ -79,6 +79,11 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", "n_chars")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(PIECES))
 
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_benchmark_decontamination,
         op7_byte_bpe,
         op8_minhash_dedup,
+        op9_html_extraction,
         op10_token_counts,
     )
     return {f.__name__: f for f in own}
