@@ -37,42 +37,67 @@ def _small_delaunay(x: np.ndarray, y: np.ndarray, triples: np.ndarray) -> np.nda
 
 
 def _large_delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Incremental insertion along a sweep, with a hash of open triangles' circles kept sorted by their right end."""
+    """Points inserted along a sweep; a triangle whose circle lies behind the sweep is done.
+
+    Beyond each side of the hull lies a triangle with a corner at infinity
+    (number -1), which a point is in if it sees that side.
+    """
     order = np.lexsort((y, x))
     px, py = x[order].tolist(), y[order].tolist()
     n = len(px)
-    w = max(px[-1] - px[0], max(py) - min(py)) or 1.0
-    cx, cy = (px[0] + px[-1]) / 2, (max(py) + min(py)) / 2
-    px += [cx - 40 * w, cx, cx + 40 * w]
-    py += [cy - 30 * w, cy + 40 * w, cy - 30 * w]
+
+    def cross(a: int, b: int, qx: float, qy: float) -> float:
+        return (px[b] - px[a]) * (qy - py[a]) - (py[b] - py[a]) * (qx - px[a])
+
+    k = next((i for i in range(2, n) if cross(0, 1, px[i], py[i]) != 0), None)
+    if k is None:
+        return np.zeros((0, 2), np.int64)
+    mx, my = (px[0] + px[1] + px[k]) / 3, (py[0] + py[1] + py[k]) / 3
+
+    def beyond(a: int, b: int) -> tuple[int, int]:
+        return (a, b) if cross(a, b, mx, my) < 0 else (b, a)
 
     def circle(i: int, j: int, k: int) -> tuple:
         bx, by, qx, qy = px[j] - px[i], py[j] - py[i], px[k] - px[i], py[k] - py[i]
         d = 2 * (bx * qy - by * qx)
-        if d == 0:
-            return (i, j, k, 0.0, 0.0, float("inf"))
         ux, uy = (qy * (bx * bx + by * by) - by * (qx * qx + qy * qy)) / d, (bx * (qx * qx + qy * qy) - qx * (bx * bx + by * by)) / d
         return (i, j, k, px[i] + ux, py[i] + uy, ux * ux + uy * uy)
 
-    live, final = [circle(n, n + 1, n + 2)], []
-    for p in range(n):
+    live, final = [circle(0, 1, k)], []
+    ghosts = {beyond(0, 1), beyond(1, k), beyond(0, k)}
+    for p in [*range(2, k), *range(k + 1, n)]:
         x0, y0 = px[p], py[p]
         stay, rim = [], {}
+
+        def cut(i: int, j: int, rim: dict = rim) -> None:
+            e = (i, j) if i < j else (j, i)
+            rim[e] = rim.get(e, 0) + 1
+
         for t in live:
             dx = x0 - t[3]
-            if dx > 0 and dx * dx > t[5]:
+            if dx > 0 and dx * dx > t[5] * (1 + 1e-9):
                 final.append(t)
-            elif dx * dx + (y0 - t[4]) * (y0 - t[4]) < t[5] * (1 - 1e-14):
-                for e in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])):
-                    e = e if e[0] < e[1] else (e[1], e[0])
-                    rim[e] = rim.get(e, 0) + 1
+            elif dx * dx + (y0 - t[4]) * (y0 - t[4]) < t[5] * (1 - 1e-13):
+                cut(t[0], t[1])
+                cut(t[1], t[2])
+                cut(t[0], t[2])
             else:
                 stay.append(t)
-        live = stay + [circle(i, j, p) for (i, j), k in rim.items() if k == 1]
-    tri = np.array([t[:3] for t in final + live if max(t[:3]) < n], np.int64).reshape(-1, 3)
-    if not len(tri):
-        return np.zeros((0, 2), np.int64)
-    tri = order[tri]
+        for a, b in list(ghosts):
+            c = cross(a, b, x0, y0)
+            if c > 0 or c == 0 and min(px[a], px[b]) <= x0 <= max(px[a], px[b]) and min(py[a], py[b]) <= y0 <= max(py[a], py[b]):
+                ghosts.discard((a, b))
+                cut(a, b)
+                cut(-1, a)
+                cut(-1, b)
+        for (i, j), seen in rim.items():
+            if seen == 1:
+                if i < 0:
+                    ghosts.add(beyond(j, p))
+                elif cross(i, j, x0, y0) != 0:
+                    stay.append(circle(i, j, p))
+        live = stay
+    tri = order[np.array([t[:3] for t in final + live], np.int64).reshape(-1, 3)]
     return np.unique(np.sort(np.concatenate([tri[:, [0, 1]], tri[:, [1, 2]], tri[:, [0, 2]]]), 1), axis=0)
 
 
