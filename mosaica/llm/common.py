@@ -6,11 +6,13 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows at which a loop of star contractions is taken to have gone wrong.
+#: Rounds after which star contractions are taken to have gone wrong; their number grows with the logarithm of the longest path.
 MAX_STAR_ROUNDS = 60
+#: Narrow rows in a checkpoint's file, where their number is known.
+ROWS_PER_FILE = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,9 +35,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint."""
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until `df` has no such columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage of `df` with a reliable checkpoint; `rows`, where known, keeps small results in few files."""
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     return df.checkpoint(eager=True)
 
 
@@ -54,31 +70,32 @@ def in_training_fold(doc_id: Column) -> Column:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected `edges`: (node, component), component being the smallest node.
 
-    Alternates large-star and small-star contractions. Each joins an edge list
-    with one minimum per node; both sides are checkpointed so that the join
-    exchanges them afresh and adaptive execution can split a hot node.
-    Self-edges and null ends are ignored; nodes without edges don't occur.
+    Star contractions on edges (u, v), u > v, until every u has one edge and no
+    v has any. In a round each v gives way to the least smaller neighbour it
+    has (large-star), then u and its smaller neighbours link to the least of
+    them (small-star). A node may have any number of larger neighbours: they
+    are joined with one row for each v, both sides read from checkpoints, so
+    that adaptive execution can split them. Smaller neighbours are few (never
+    more than a node was given), so a window over u is safe. Self-edges and
+    null ends are ignored; nodes without edges don't occur.
     """
-    spark = edges.sparkSession
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     e = settle(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    n = e.count()
+    if n > 0:
+        e = e.coalesce(max(1, -(-n // ROWS_PER_FILE)))
+    by_u = Window.partitionBy("u")
     for _ in range(MAX_STAR_ROUNDS):
-        # large-star: every larger neighbour of u links to the least of u and its neighbours
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        up = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        e1 = up.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # u's smaller neighbours are no larger than m of themselves; u itself links to its own m as some neighbour's larger end
-        e = settle(e1.where("u <> v").distinct())
-        # small-star: u and its smaller neighbours link to the least of them
-        least = settle(e.groupBy("u").agg(F.min("v").alias("m")))
-        e2 = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = settle(e2.where("u <> v").distinct())
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        least = settle(e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")), n)
+        single = (least.agg(F.max("k")).first()[0] or 1) == 1
+        up = least.select(F.col("u").alias("v"), "m")
+        if single and e.join(up, "v", "left_semi").isEmpty():
             break
-        before = tuple(state)
+        large = e.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        small = large.withColumn("m", F.min("v").over(by_u))
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        e = settle(small.where("u <> v").distinct(), n)
+        n = e.count()
     else:
         raise RuntimeError("star contraction did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
