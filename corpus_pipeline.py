@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaica.llm import bpe, decontaminate, line_dedup, minhash, quality
-from mosaica.llm.common import fresh_path, in_training_fold
+from mosaica.llm.common import fresh_path, in_training_fold, unused
 from mosaica.llm.queries import BYTE_BPE, table, text_sha256, vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -43,7 +43,8 @@ def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     hit = decontaminate.hits_column(spark, F.col("text"), table(spark, sf_dir, "benchmark"))
-    return docs.withColumn("__hit", hit).where("__hit.n_hit = 0").select(*docs.columns)
+    (found,) = unused(docs, "found")
+    return docs.withColumn(found, hit).where(F.col(f"{found}.n_hit") == 0).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from mosaica.llm.bpe import slices
+from mosaica.llm.common import unused
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -239,10 +240,11 @@ def marginals(parent: list[int], unary: list[float], pair: tuple) -> tuple[list[
             m0[i], m1[i] = a, b
             up0[p] *= a
             up1[p] *= b
-            if up0[p] + up1[p] < 1e-200:
-                up0[p] *= 1e200
-                up1[p] *= 1e200
-                logz -= 200 * math.log(10)
+            s = up0[p] + up1[p]
+            if not 1e-100 < s < 1e100:
+                up0[p] /= s
+                up1[p] /= s
+                logz += math.log(s)
     out, edges = [0.0] * n, [None] * n
     d0, d1 = [0.0] * n, [0.0] * n  # full beliefs
     d0[0], d1[0] = up0[0], up1[0]
@@ -255,7 +257,7 @@ def marginals(parent: list[int], unary: list[float], pair: tuple) -> tuple[list[
         e00, e01, e10, e11 = e00 / s, e01 / s, e10 / s, e11 / s
         edges[i] = (e00, e01, e10, e11)
         d0[i], d1[i] = e00 + e10, e01 + e11
-        out[i] = d1[i]
+        out[i] = min(1.0, d1[i])
     return out, logz, edges
 
 
@@ -395,19 +397,20 @@ def main_text(source: str | None, model: tuple[np.ndarray, tuple]) -> str:
     return " ".join(text for node, text in page.runs if p[node] >= 0.5)
 
 
-def extract(pages: DataFrame, model: tuple[np.ndarray, tuple] | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """`pages` without `html_col`, plus text and n_chars (code points). Null and empty pages have an empty text."""
+def extract(pages: DataFrame, model: tuple[np.ndarray, tuple] | None = None, html_col: str = "html") -> DataFrame:
+    """`pages` without `html_col`, plus text and n_chars (code points), which replace earlier columns of these names. Null and empty pages have an empty text."""
     shared = pages.sparkSession.sparkContext.broadcast(model or train())
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    (source,) = unused(pages, "source_html")
 
     def run(batches):
         weights = shared.value
         for pdf in batches:
-            sources = [s if isinstance(s, str) else None for s in pdf["__html"]]
+            sources = [s if isinstance(s, str) else None for s in pdf[source]]
             for a, b in slices(sources):
                 text = [main_text(s, weights) for s in sources[a:b]]
                 yield pdf[keep].iloc[a:b].assign(text=text, n_chars=[len(t) for t in text])
 
-    read = pages.select(*keep, pages[html_col].alias("__html"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != "__html")
+    read = pages.select(*keep, pages[html_col].alias(source))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != source)
     return read.mapInPandas(run, f"{fields}, text string, n_chars long" if fields else "text string, n_chars long")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import settle
+from mosaica.llm.common import settle, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = " \t\n\x0b\x0c\r"
@@ -68,19 +68,19 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """`docs` with recurring lines taken out of the text, plus n_lines and n_dropped (long).
 
     Null texts count as one empty line and stay null. Rows with a null id lose
-    nothing. All other columns stay as they are.
+    nothing. All other columns stay as they are, but for earlier ones of these
+    two names, which are replaced.
     """
     maps = line_bitmaps(docs, id_col, text_col, min_chars, min_docs)
-    maps = maps.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), F.col("n_dropped").alias("__dropped"), F.col("keep_runs").alias("__runs"))
-    joined = docs.join(maps, (docs[id_col] == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
-    mask = F.flatten(F.transform("__runs", lambda n, i: F.array_repeat(i % 2 == 0, n)))
-    text = F.col(text_col)
-    kept = joined.withColumn("__mask", mask).withColumn("__lines", F.when(F.col("__runs").isNotNull(), _lines(text)))
-    stay = F.array_join(F.filter("__lines", lambda x, i: F.coalesce(F.get("__mask", i), F.lit(True))), "\n")
-    n_lines = (F.char_length(F.coalesce(text, F.lit(""))) - F.char_length(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long")
-    out = kept.withColumn("n_lines", n_lines).withColumn("n_dropped", F.coalesce("__dropped", F.lit(0).cast("long")))
-    out = out.withColumn(text_col, F.when(F.col("__runs").isNotNull(), stay).otherwise(text))
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    own_id, own_hash, lost, runs = unused(docs, "own_id", "own_hash", "lost", "runs")
+    maps = maps.select(F.col(id_col).alias(own_id), F.col("text_hash").alias(own_hash), F.col("n_dropped").alias(lost), F.col("keep_runs").alias(runs))
+    joined = docs.join(maps, (F.col(id_col) == F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_hash)), "left")
+    text, has = F.coalesce(F.col(text_col), F.lit("")), F.col(runs).isNotNull()
+    mask = F.flatten(F.transform(runs, lambda n, i: F.array_repeat(i % 2 == 0, n)))
+    stay = F.array_join(F.transform(F.filter(F.arrays_zip(_lines(text).alias("line"), mask.alias("keep")), lambda x: F.coalesce(x["keep"], F.lit(True)) & x["line"].isNotNull()), lambda x: x["line"]), "\n")
+    n_lines = (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    new = {text_col: F.when(has, stay).otherwise(F.col(text_col)), "n_lines": n_lines, "n_dropped": F.coalesce(F.col(lost), F.lit(0).cast("long"))}
+    return joined.select(*[new[c].alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], *[new[c].alias(c) for c in ("n_lines", "n_dropped")])
 
 
 ORACLE = """
