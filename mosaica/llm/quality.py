@@ -59,7 +59,9 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     np.maximum.at(marks, limits[:-1] - 1, base[:-1])
     marks[starts] = of_word
     of_byte = np.maximum.accumulate(marks)
-    hist = np.bincount(of_byte * KINDS + _KIND[joined], minlength=total * KINDS).reshape(total, KINDS)
+    text_byte = np.ones(len(joined), bool)
+    text_byte[limits - 1] = False  # the blanks between texts are no part of them
+    hist = np.bincount((of_byte * KINDS + _KIND[joined])[text_byte], minlength=total * KINDS).reshape(total, KINDS)
     size = np.maximum(1, hist.sum(1))
     out[:, :KINDS] = np.sqrt(hist / size[:, None])
     if len(starts):
