@@ -41,7 +41,8 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(cells: DataFrame) -> DataFrame:
-    return graph.delaunay_edges(cells)
+    """Edges of a query, kept since statistics read them more than once; a cohort has them as a table."""
+    return graph.delaunay_edges(cells).persist()
 
 
 # ---- scans, units, labels ------------------------------------------------------------------------------------------
@@ -1037,7 +1038,7 @@ def score_cells(spark, d):
 def spatial_tests(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: enrichment, Moran's I and cross-L per unit, patient means, group tests with q values."""
     c = _cells(spark, d)
-    e = _edges(c).persist()
+    e = _edges(c)
     enr = stats.enrichment_analytic(c, e).where("ta <= tb").select("unit_id", F.concat(F.lit("enrichment "), "ta", F.lit("|"), "tb").alias("metric"), F.col("log2_ratio").alias("value"))
     mor = stats.morans_i(c, e).select("unit_id", F.concat(F.lit("moran "), "t").alias("metric"), F.col("i").alias("value"))
     cl = stats.cross_l(c, RADII).where("ta <= tb").select("unit_id", F.concat(F.lit("cross_l "), "ta", F.lit("|"), "tb", F.lit("|"), F.col("radius").cast("string")).alias("metric"), "value")

@@ -143,8 +143,10 @@ def delaunay_edges(cells: DataFrame) -> DataFrame:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
+    """Each edge in both directions, from one pass over the edges."""
     extra = [c for c in edges.columns if c not in ("src", "dst")]
-    return edges.unionByName(edges.select(*extra, F.col("dst").alias("src"), F.col("src").alias("dst")))
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return edges.select(*extra, ends.alias("__e")).select(*extra, "__e.*")
 
 
 def with_ends(edges: DataFrame, cells: DataFrame, *columns: str) -> DataFrame:
@@ -186,17 +188,26 @@ def degree_importance(edges: DataFrame, cells: DataFrame) -> DataFrame:
 def ego_nodes(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(unit_id, root_id, node_id, hop): all nodes within `depth` edges of each root, with their distance.
 
-    Frontier by frontier: each hop joins only the nodes that the last one added.
+    Hop by hop: nodes join the list of their neighbours, and those that the last
+    hop added put it out. Each hop reads the one before once, so that plans
+    grow with the depth and no more.
     """
-    two = both_ways(edges).select("unit_id", F.col("src").alias("node_id"), F.col("dst").alias("next"))
+    near = both_ways(edges).groupBy("unit_id", F.col("src").alias("node_id")).agg(F.collect_list("dst").alias("__near"))
     seen = roots.select("unit_id", F.col("cell_id").alias("root_id"), F.col("cell_id").alias("node_id"), F.lit(0).alias("hop"))
     for hop in range(1, depth + 1):
-        front = seen.where(F.col("hop") == hop - 1)
-        grown = front.join(two, ["unit_id", "node_id"]).select("unit_id", "root_id", F.col("next").alias("node_id"), F.lit(hop).alias("hop"))
-        seen = seen.unionByName(grown).groupBy("unit_id", "root_id", "node_id").agg(F.min("hop").alias("hop"))
+        step = _steps(hop)
+        grown = seen.join(near, ["unit_id", "node_id"], "left").select("unit_id", "root_id", F.explode(step).alias("__s")).select("unit_id", "root_id", "__s.*")
+        seen = grown.groupBy("unit_id", "root_id", "node_id").agg(F.min("hop").alias("hop"))
     return seen
 
 
+def _steps(hop: int) -> Column:
+    """A node itself and, if the last hop added it, its neighbours."""
+    own = F.array(F.struct("node_id", "hop"))
+    new = F.transform("__near", lambda n: F.struct(n.alias("node_id"), F.lit(hop).alias("hop")))
+    return F.when((F.col("hop") == hop - 1) & F.col("__near").isNotNull(), F.concat(own, new)).otherwise(own)
+
+
 def ego_edges(edges: DataFrame, ego: DataFrame) -> DataFrame:
     """Edges with both ends in an ego graph: (unit_id, root_id, src, dst)."""
     a = ego.select("unit_id", "root_id", F.col("node_id").alias("src"))

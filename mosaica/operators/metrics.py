@@ -55,7 +55,7 @@ def regression_metrics(frame: DataFrame, pairs: list[tuple[str, str]]) -> DataFr
     agg = []
     for i, (p, t) in enumerate(pairs):
         e = F.col(p) - F.col(t)
-        agg += [F.avg(e * e).alias(f"mse{i}"), F.avg(F.abs(e)).alias(f"mae{i}"), F.var_pop(t).alias(f"var{i}"), F.corr(p, t).alias(f"r{i}")]
+        agg += [F.avg(e * e).alias(f"mse{i}"), F.avg(F.abs(e)).alias(f"mae{i}"), F.var_pop(t).alias(f"var{i}"), F.try_divide(F.covar_pop(p, t), F.sqrt(F.var_pop(p)) * F.sqrt(F.var_pop(t))).alias(f"r{i}")]
     one = frame.agg(*agg)
     k = len(pairs)
     mean = lambda f: sum((f(i) for i in range(k)), F.lit(0.0)) / k

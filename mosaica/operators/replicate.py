@@ -108,7 +108,7 @@ def adjusted_rand(pairs: DataFrame, a: str = "a", b: str = "b", *keys: str, leas
     ra = c.groupBy(*keys, a).agg(F.sum("n").alias("m")).groupBy(*keys).agg(F.sum(two(F.col("m"))).alias("ra"))
     rb = c.groupBy(*keys, b).agg(F.sum("n").alias("m")).groupBy(*keys).agg(F.sum(two(F.col("m"))).alias("rb"))
     out = ij.join(ra, list(keys)).join(rb, list(keys)) if keys else ij.crossJoin(ra).crossJoin(rb)
-    e = F.col("ra") * F.col("rb") / two(F.col("n"))
+    e = F.try_divide(F.col("ra") * F.col("rb"), two(F.col("n")))
     top = (F.col("ra") + F.col("rb")) / 2 - e
     ari = F.when(F.abs(top) < 1e-12, 1.0).otherwise((F.col("ij") - e) / top)
     return out.select(*keys, F.when(F.col("n") >= least, ari).alias("ari"), F.col("n").cast("long").alias("n"))

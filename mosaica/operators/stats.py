@@ -16,8 +16,8 @@ from mosaica.operators.graph import both_ways, degrees, with_ends
 def labelled_ends(cells: DataFrame, edges: DataFrame, label: str = "cell_type") -> DataFrame:
     """Both directions of each edge with the labels of its ends: (unit_id, src, dst, ta, tb)."""
     e = with_ends(edges, cells, label)
-    out = e.select("unit_id", "src", "dst", F.col(f"a_{label}").alias("ta"), F.col(f"b_{label}").alias("tb"))
-    return out.unionByName(out.select("unit_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("tb").alias("ta"), F.col("ta").alias("tb")))
+    way = lambda s, d, a, b: F.struct(F.col(s).alias("src"), F.col(d).alias("dst"), F.col(f"{a}_{label}").alias("ta"), F.col(f"{b}_{label}").alias("tb"))
+    return e.select("unit_id", F.explode(F.array(way("src", "dst", "a", "b"), way("dst", "src", "b", "a"))).alias("__e")).select("unit_id", "__e.*")
 
 
 def contact_counts(cells: DataFrame, edges: DataFrame, label: str = "cell_type") -> DataFrame:

@@ -76,12 +76,12 @@ def group_tests(values: DataFrame, groups: DataFrame, metric: str = "metric", pa
     n1, n2 = F.col("n1").cast("double"), (F.col("n") - F.col("n1")).cast("double")
     n = n1 + n2
     s = s.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     z = F.greatest(F.abs(F.col("u") - n1 * n2 / 2) - 0.5, F.lit(0.0)) / sd
     tested = (F.col("n1") >= min_per_group) & (F.col("n") - F.col("n1") >= min_per_group)
     out = s.withColumn("p", F.when(tested & (sd > 0), F.least(normal_two_sided(z), F.lit(1.0))).when(tested, F.lit(1.0)))
     out = out.select(
-        metric, F.col("n1").alias("n_positive"), (F.col("n") - F.col("n1")).alias("n_other"), (F.col("s1") / n1).alias("mean_positive"), (F.col("s0") / n2).alias("mean_other"), (F.col("s1") / n1 - F.col("s0") / n2).alias("difference"), F.when(tested, F.col("u") / (n1 * n2)).alias("auroc"), "u", "ties", "p"
+        metric, F.col("n1").alias("n_positive"), (F.col("n") - F.col("n1")).alias("n_other"), F.try_divide("s1", n1).alias("mean_positive"), F.try_divide("s0", n2).alias("mean_other"), (F.try_divide("s1", n1) - F.try_divide("s0", n2)).alias("difference"), F.when(tested, F.col("u") / (n1 * n2)).alias("auroc"), "u", "ties", "p"
     )
     if exact:
 

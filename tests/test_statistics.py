@@ -54,6 +54,14 @@ def test_group_test_of_a_planted_difference(spark):
     assert out["m"].p == pytest.approx(2 / math.comb(12, 6))
 
 
+def test_group_tests_with_one_sided_or_single_values(spark):
+    d = spark.createDataFrame([("one", "p0", 1.0), ("same", "p0", 1.0), ("same", "p1", 2.0)], "metric string, patient_id string, value double")
+    g = spark.createDataFrame([("p0", True), ("p1", True)], "patient_id string, positive boolean")
+    assert [(r.p, r.mean_other) for r in testing.group_tests(d, g, min_per_group=1).collect()] == [(None, None), (None, None)]
+    pair = spark.createDataFrame([(1, 1)], "a int, b int")
+    assert replicate.adjusted_rand(pair).first().ari is None
+
+
 def test_exact_tail_is_a_distribution():
     t = testing._exact_tail(3, 4)
     assert t[0] == 1 and t[12] == pytest.approx(1 / math.comb(7, 3)) and sum(a - b for a, b in zip(t, (*t[1:], 0))) == pytest.approx(1)
