@@ -19,9 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words whose ids a worker keeps at most; others are encoded again when met.
-MAX_CACHED = 400_000
+MAX_CACHED = 200_000
 #: Likewise for tested pairs of tokens.
-MAX_CACHED_PAIRS = 1_000_000
+MAX_CACHED_PAIRS = 400_000
 #: Words longer than this many bytes are merged exactly without speculation.
 MAX_SPECULATED = 64
 
@@ -92,14 +92,10 @@ class ByteBPE:
         for t in ids:
             for k in range(1, len(t) + 1):
                 nodes.setdefault(t[:k], len(nodes))
-        self.next = np.full((len(nodes), 256), -1, np.int32)
-        self.token = np.full(len(nodes), -1, np.int32)
-        for t, n in nodes.items():
-            if t:
-                self.next[nodes[t[:-1]], t[-1]] = n
-            self.token[n] = ids.get(t, -1)
-        self.next = self.next.reshape(-1)
-        self.deepest = max(map(len, ids))
+        code = np.array([nodes[t[:-1]] * 256 + t[-1] for t in nodes if t], np.int64)
+        order = np.argsort(code)
+        self.edge, self.child = code[order], np.array([n for t, n in nodes.items() if t], np.int32)[order]
+        self.token = np.array([ids.get(t, -1) for t in nodes], np.int32)
 
     def _lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the merge table of each pair, and whether it is there."""
@@ -170,8 +166,10 @@ class ByteBPE:
             node, best, end = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64), pos[live].copy()
             at, on = pos[live].copy(), np.arange(len(live))
             while len(on):
-                step = self.next[node[on] * 256 + raw[live[on], at[on]]]
-                fine = (step >= 0) & (at[on] < size[live[on]])
+                code = node[on] * 256 + raw[live[on], at[on]]
+                place = np.minimum(np.searchsorted(self.edge, code), len(self.edge) - 1)
+                fine = (self.edge[place] == code) & (at[on] < size[live[on]])
+                step = self.child[place]
                 on, step = on[fine], step[fine]
                 node[on] = step
                 at[on] += 1
@@ -259,7 +257,7 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def slices(texts: list[str | None], chars: int = 4_000_000):
+def slices(texts: list[str | None], chars: int = 2_000_000):
     """Ranges of a batch that hold about `chars` characters each, and one text at least."""
     start = room = 0
     for i, t in enumerate(texts):
