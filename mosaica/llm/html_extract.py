@@ -58,7 +58,11 @@ GROUPS = {
     "content": "article content post entry story main body text maincontent articlebody postcontent page prose copy",
 }
 _GROUP_OF = {w: i for i, ws in enumerate(GROUPS.values()) for w in ws.split()}
-N_FEATURES = len(TAGS) + len(GROUPS) + 9
+N_FEATURES = len(TAGS) + len(GROUPS) + 13
+_CONTENT = len(GROUPS) - 1
+#: Groups and tags of what stands around articles.
+_AROUND = frozenset(i for i, g in enumerate(GROUPS) if g not in ("content", "share"))
+_AROUND_TAGS = frozenset("nav aside footer form dialog menu search".split())
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -190,8 +194,15 @@ class Page:
             linked[node] += k
             marks[node] += text.count(".") + text.count(",") + text.count("!") + text.count("?")
         depth = [0] * n
+        around, within = [False] * n, [False] * n  # below a block of the one kind or the other, the nearest deciding
         for i in range(1, n):
-            depth[i] = depth[self.parent[i]] + 1
+            p, names = self.parent[i], self.names[i]
+            depth[i] = depth[p] + 1
+            odd = self.odd(i)
+            box = self.tag[i] in ("article", "main") or _CONTENT in names
+            around[i] = around[p] or odd
+            within[i] = not odd and (within[p] or box and not around[i])
+        boxed = any(within)
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
             chars[p] += chars[i]
@@ -207,20 +218,34 @@ class Page:
             for g in self.names[i]:
                 x[i, len(TAGS) + g] = 1
             c = max(1, chars[i])
-            x[i, base:] = (1, math.log1p(chars[i]) / 5, linked[i] / c, min(1.0, 20 * marks[i] / c), chars[i] / total, own[i] > 0, own[i] > 80, self.hidden[i], depth[i] > 1)
+            x[i, base:] = (1, math.log1p(chars[i]) / 5, linked[i] / c, min(1.0, 20 * marks[i] / c), chars[i] / total, own[i] > 0, own[i] > 80, self.hidden[i], depth[i] > 1, within[i], around[i], not boxed and not around[i], not boxed and not around[i] and own[i] > 0)
         return x
 
+    def odd(self, i: int) -> bool:
+        """Whether a block's own tag or names speak of what stands around articles."""
+        return self.tag[i] in _AROUND_TAGS or any(g in _AROUND for g in self.names[i])
+
+    def content(self, model: tuple[np.ndarray, tuple]) -> list[float]:
+        """Each node's probability of being content."""
+        return marginals(self.parent, (self.features() @ model[0]).tolist(), model[1], self.kinds())[0]
+
+    def kinds(self) -> list[int]:
+        """The table of (parent, child) potentials that each node has with its parent: such blocks have one of their own."""
+        return [int(self.odd(i)) for i in range(len(self.tag))]
+
 
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 
 
-def marginals(parent: list[int], unary: list[float], pair: tuple) -> tuple[list[float], float, list]:
+def marginals(parent: list[int], unary: list[float], pair: tuple, kinds: list[int] | None = None) -> tuple[list[float], float, list]:
     """Sum-product on a tree whose parents come first: probabilities of label 1, the log partition and edge beliefs (p00, p01, p10, p11).
 
-    `unary`: log odds of label 1; `pair`: log potentials for (parent, child) as 00, 01, 10, 11.
+    `unary`: log odds of label 1; `pair`: log potentials for (parent, child) as
+    00, 01, 10, 11, four for each kind of child.
     """
     n = len(parent)
-    t00, t01, t10, t11 = map(math.exp, pair)
+    tables = [tuple(map(math.exp, pair[k : k + 4])) for k in range(0, len(pair), 4)]
+    kinds = kinds or [0] * n
     up0, up1 = [0.5] * n, [0.5] * n  # a node's own potential times the messages of its children, as a pair that sums to one
     logz = 0.0
     for i, u in enumerate(unary):
@@ -236,6 +261,7 @@ def marginals(parent: list[int], unary: list[float], pair: tuple) -> tuple[list[
         logz += math.log(s)
         p = parent[i]
         if p >= 0:
+            t00, t01, t10, t11 = tables[kinds[i]]
             a, b = t00 * up0[i] + t01 * up1[i], t10 * up0[i] + t11 * up1[i]
             m0[i], m1[i] = a, b
             up0[p] *= a
@@ -251,6 +277,7 @@ def marginals(parent: list[int], unary: list[float], pair: tuple) -> tuple[list[
     out[0] = up1[0]
     for i in range(1, n):
         p = parent[i]
+        t00, t01, t10, t11 = tables[kinds[i]]
         a, b = d0[p] / m0[i], d1[p] / m1[i]  # the parent's belief without this child
         e00, e01, e10, e11 = a * t00 * up0[i], a * t01 * up1[i], b * t10 * up0[i], b * t11 * up1[i]
         s = e00 + e01 + e10 + e11
@@ -261,7 +288,7 @@ def marginals(parent: list[int], unary: list[float], pair: tuple) -> tuple[list[
     return out, logz, edges
 
 
-def labelled_pages(count: int = 500, seed: int = 11) -> list[tuple[str, list[int]]]:
+def labelled_pages(count: int = 700, seed: int = 11) -> list[tuple[str, list[int]]]:
     """Pages with a label for each block in page order; blocks of the article are marked by an attribute that is taken out again."""
     rng = random.Random(seed)
     syllables = "an be co da el fi go ha in jo ka le mi no or pa qui re sto tu un va we".split()
@@ -299,6 +326,10 @@ def labelled_pages(count: int = 500, seed: int = 11) -> list[tuple[str, list[int
                 lambda: f'<div {pick(["hidden", "style=display:none", "class=skip hidden"])}><p>{sentence(3, 40)}</p></div>',
                 lambda: f'<section id="{pick(["comments", "replies"])}"><article class="comment"><p>{sentence(3, 60)}</p></article></section>',
                 lambda: f"<nav><p>{words(2, 12)}</p></nav>",
+                lambda: f"<header><h1>{words(1, 5)}</h1>{pick(['', '<p>' + words(2, 8) + '</p>'])}</header>",
+                lambda: f'<div class="{pick(["header", "masthead", "topbar"])}"><h1>{words(1, 4)}</h1><p>{sentence(2, 10)}</p></div>',
+                lambda: f'<div class="{pick(["notice", "alert", "banner", "disclaimer", "message"])}">{sentence(2, 20)}</div>',
+                lambda: f"<form><div>{words(1, 4)}</div><p>{sentence(2, 12)}</p></form>",
                 lambda: f"<aside><p>{sentence(5, 60)}</p></aside>",
                 lambda: f'<div class="{pick(["share", "social-links", "tags"])}">{links(3, "p")}</div>',
             ]
@@ -307,8 +338,10 @@ def labelled_pages(count: int = 500, seed: int = 11) -> list[tuple[str, list[int
     def piece() -> str:
         pick = rng.choice
         roll = rng.random()
-        if roll < 0.62:
-            return f"<p +>{sentence(1, 90)}" + pick(["</p>", "</p>", ""])
+        if roll < 0.56:
+            return f"<p +>{sentence(1, rng.choice([3, 12, 90]))}" + pick(["</p>", "</p>", ""])
+        if roll < 0.65:
+            return f"<p +><a href=/y>{words(2, 9)}</a></p>"
         if roll < 0.70:
             return f"<p +><b>{words(3, 12)}<br>"
         if roll < 0.80:
@@ -329,8 +362,10 @@ def labelled_pages(count: int = 500, seed: int = 11) -> list[tuple[str, list[int
             h = f"<h1 +>{words(2, 12)}</h1>"
             inner.append(f"<header +>{h}</header>" if rng.random() < 0.15 else h)
         inner += [piece() for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14]))]
-        for _ in range(rng.choice([0, 0, 0, 1, 2])):
-            inner.insert(rng.randint(1, len(inner)), junk())
+        for _ in range(rng.choice([0, 0, 0, 1, 2, 4])):
+            j = junk()
+            if "<header" not in j and "<h1" not in j:  # an article's own header is part of it
+                inner.insert(rng.randint(1, len(inner)), j)
         body = "".join(inner)
         box = rng.random()
         if box < 0.45:
@@ -339,7 +374,9 @@ def labelled_pages(count: int = 500, seed: int = 11) -> list[tuple[str, list[int
             return f"<main +>{body}</main>"
         if box < 0.65:
             return f"<main><article +>{body}</article></main>"
-        if box < 0.92:
+        if box < 0.70:
+            return f"<div><div +>{body}</div></div>"
+        if box < 0.90:
             return f'<div {rng.choice(["class", "id"])}="{rng.choice(["content", "post", "entry-content", "story-body", "article-text", "main-content"])}" +>{body}</div>'
         return body
 
@@ -366,19 +403,20 @@ def train(epochs: int = 25, seed: int = 3) -> tuple[np.ndarray, tuple]:
     data = []
     for source, labels in labelled_pages():
         page = Page(source)
-        data.append((page.parent, page.features(), np.array(labels)))
+        data.append((page.parent, page.features(), np.array(labels), page.kinds()))
     rng = np.random.default_rng(seed)
-    w, pair = np.zeros(N_FEATURES), np.zeros(4)
-    sw, sp = np.full(N_FEATURES, 1e-3), np.full(4, 1e-3)
+    w, pair = np.zeros(N_FEATURES), np.zeros(8)
+    sw, sp = np.full(N_FEATURES, 1e-3), np.full(8, 1e-3)
     for _ in range(epochs):
         for k in rng.permutation(len(data)):
-            parent, x, y = data[k]
-            p, _, edges = marginals(parent, (x @ w).tolist(), tuple(pair))
+            parent, x, y, kinds = data[k]
+            p, _, edges = marginals(parent, (x @ w).tolist(), tuple(pair), kinds)
             gw = x.T @ (y - np.array(p)) - 0.002 * w
             gp = -0.002 * pair
             for i in range(1, len(parent)):
-                gp[2 * y[parent[i]] + y[i]] += 1
-                gp -= edges[i]
+                at = 4 * kinds[i]
+                gp[at + 2 * y[parent[i]] + y[i]] += 1
+                gp[at : at + 4] -= edges[i]
             sw += gw**2
             sp += gp**2
             w += 0.5 * gw / np.sqrt(sw)
@@ -393,7 +431,7 @@ def main_text(source: str | None, model: tuple[np.ndarray, tuple]) -> str:
     page = Page(source)
     if not page.runs:
         return ""
-    p, _, _ = marginals(page.parent, (page.features() @ model[0]).tolist(), model[1])
+    p = page.content(model)
     return " ".join(text for node, text in page.runs if p[node] >= 0.5)
 
 

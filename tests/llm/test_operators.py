@@ -364,7 +364,7 @@ def test_model_tells_blocks_of_new_pages():
     model, right, n = html_extract.train(), 0, 0
     for source, labels in html_extract.labelled_pages(80, seed=99):
         page = html_extract.Page(source)
-        p, _, _ = html_extract.marginals(page.parent, (page.features() @ model[0]).tolist(), model[1])
+        p = page.content(model)
         for node in {k for k, _ in page.runs}:
             right += (p[node] >= 0.5) == labels[node]
             n += 1
