@@ -339,7 +339,7 @@ def labelled_pages(count: int = 700, seed: int = 11) -> list[tuple[str, list[int
         pick = rng.choice
         roll = rng.random()
         if roll < 0.56:
-            return f"<p +>{sentence(1, rng.choice([3, 12, 90]))}" + pick(["</p>", "</p>", ""])
+            return f"<p +>{pick([sentence, sentence, words])(1, rng.choice([3, 12, 90]))}" + pick(["</p>", "</p>", ""])
         if roll < 0.65:
             return f"<p +><a href=/y>{words(2, 9)}</a></p>"
         if roll < 0.70:
