@@ -5,10 +5,11 @@ least hash of a bin is its value, and empty bins borrow from others by a second
 hash (optimal densification). Bands of bins make buckets. Each bucket gives
 star-shaped edges to its least document only, so the number of edges is bounded
 by documents times bands. Edges whose signatures agree in fewer than half of
-the bins go. What remains connects groups of candidates; within a group all
-pairs are compared on full shingle sets, block against block, and only a
-spanning forest of the links found leaves a block. Identical sets are joined
-before, so that copies cost nothing further.
+the bins go. What remains connects groups of candidates. Within a group links
+are confirmed on full shingle sets: large groups against a hub first, and what
+is not linked to it against all, block against block; only a spanning forest of
+the links found leaves a block. Identical sets are joined before, so that copies
+cost nothing further.
 """
 
 from __future__ import annotations
@@ -227,30 +228,25 @@ def links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.nd
     return rows_a[a], rows_b[b]
 
 
-def verify(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links among the documents of each candidate group, as forests: (a, b).
-
-    `members`: (id, grp). A group of several blocks is dealt as pairs of blocks,
-    each with no more than twice BLOCK documents; small groups share tasks.
-    """
-    sizes = settle(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    placed = members.join(sizes, "grp").select("id", "grp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
-    placed = settle(placed)
-    texts = docs.select(F.col("id").alias("id"), "text").join(placed, "id")
+def _hashed(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """`members` (id, grp, blocks, own) with the hashes of their sets."""
 
-    def hashed(batches):
+    def run(batches):
         for pdf in batches:
             text = _texts(pdf)
             for a, b in _slices(text):
                 sets = shingle_sets(text[a:b], size)
-                yield pd.DataFrame({"id": pdf["id"].iloc[a:b], "grp": pdf["grp"].iloc[a:b], "blocks": pdf["blocks"].iloc[a:b], "own": pdf["own"].iloc[a:b], "hashes": [s.tobytes() for s in sets]})
+                yield pdf.iloc[a:b][["id", "grp", "blocks", "own"]].assign(hashes=[s.tobytes() for s in sets])
+
+    texts = docs.select("id", "text").join(members, "id").select("id", "grp", "blocks", "own", "text")
+    return texts.mapInPandas(run, "id long, grp long, blocks int, own int, hashes binary")
 
-    sets = texts.select("id", "grp", "blocks", "own", "text").mapInPandas(hashed, "id long, grp long, blocks int, own int, hashes binary")
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("id", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "hashes")
+
+def _compare(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), as forests, among the rows of each (grp, i, j), or between their two sides."""
     dealt = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side")
 
-    def compare(batches):
+    def run(batches):
         key, ids, found, side = None, [], [], []
 
         def close():
@@ -272,7 +268,97 @@ def verify(members: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
         if (out := close()) is not None:
             yield out
 
-    return dealt.mapInPandas(compare, "a long, b long")
+    return dealt.select("grp", "i", "j", "id", "side", "hashes").mapInPandas(run, "a long, b long")
+
+
+def _hubs(placed: DataFrame, sig: DataFrame) -> DataFrame:
+    """(grp, hub): of each group the document whose signature agrees most with that of a block's majority.
+
+    Copies stray from what they were made of in different places, so the
+    majority comes near the original. The choice decides the work only.
+    """
+
+    def majority(batches):
+        key, held = None, []
+
+        def close():
+            x = np.frombuffer(b"".join(held), np.uint8).reshape(-1, BINS)
+            votes = np.zeros((BINS, 256), np.int64)
+            np.add.at(votes, (np.tile(np.arange(BINS), len(x)), x.reshape(-1)), 1)
+            return pd.DataFrame({"grp": [key], "usual": [votes.argmax(1).astype(np.uint8).tobytes()]})
+
+        for pdf in batches:
+            for grp, own in zip(pdf["grp"], pdf["sig"], strict=True):
+                if grp != key:
+                    if held:
+                        yield close()
+                    key, held = grp, []
+                held.append(own)
+        if held:
+            yield close()
+
+    def agreement(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, BINS) == np.frombuffer(b"".join(pdf["usual"]), np.uint8).reshape(-1, BINS)
+                yield pdf[["id", "grp"]].assign(n=x.sum(1))
+
+    signed = placed.join(sig, "id")
+    first = signed.where("own = 0").select("grp", "blocks", "sig").repartition("grp").sortWithinPartitions("grp")
+    usual = first.select("grp", "sig").mapInPandas(majority, "grp long, usual binary")
+    spread = usual.join(placed.select("grp", "blocks").distinct(), "grp").select("grp", "usual", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    scored = signed.join(spread, ["grp", "own"]).select("id", "grp", "sig", "usual").mapInPandas(agreement, "id long, grp long, n long")
+    return scored.groupBy("grp").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("hub"))
+
+
+def verify(members: DataFrame, docs: DataFrame, sig: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links among the documents of each candidate group, as forests: (a, b).
+
+    `members`: (id, grp); `sig`: (id, sig). A group that fits a block is
+    compared at once. In a larger one all documents meet one hub first, a row
+    each; those linked to it are one component whatever else links them, and
+    only the rest meets all documents, block against block. So a group of
+    copies of one document costs about its number of rows, however many these
+    are, and no link is lost.
+    """
+    sizes = settle(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    placed = members.join(sizes, "grp").select("id", "grp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
+    placed = settle(placed)
+    every = settle(_hashed(placed, docs, size))  # texts move once
+    out = _compare(every.where("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)}), percent)
+    large, sets = placed.where("blocks > 1"), every.where("blocks > 1")
+    if large.isEmpty():
+        return out
+
+    hubs = settle(_hubs(large, sig))
+    centre = sets.join(hubs, "grp").where("id = hub").select("id", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.lit(0).alias("side"), "hashes")
+    star = centre.unionByName(sets.select("id", "grp", "own", F.lit(1).alias("side"), "hashes")).repartition("grp", "own").sortWithinPartitions("grp", "own", "side")
+
+    def meet(batches):
+        key, hub, own = None, None, np.zeros(0, np.uint64)
+        for pdf in batches:
+            rows = []
+            for grp, block, doc, side, data in zip(pdf["grp"], pdf["own"], pdf["id"], pdf["side"], pdf["hashes"], strict=True):
+                if (grp, block) != key:
+                    key, hub, own = (grp, block), None, np.zeros(0, np.uint64)
+                x = np.frombuffer(data, np.uint64)
+                if side == 0:
+                    hub, own = doc, x
+                else:
+                    both = len(np.intersect1d(own, x, assume_unique=True)) if hub is not None else 0
+                    rows.append((doc, hub, both > 0 and 100 * both >= percent * (len(own) + len(x) - both)))
+            yield pd.DataFrame(rows, columns=["id", "hub", "linked"]).astype({"hub": "Int64"})
+
+    met = settle(star.select("grp", "own", "id", "side", "hashes").mapInPandas(meet, "id long, hub long, linked boolean"))
+    out = out.union(met.where("linked and id <> hub").select("id", "hub"))
+    rest = settle(sets.join(met.where("not linked").select("id"), "id"))
+    if rest.isEmpty():
+        return out
+    parts = settle(rest.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
+    of_rest = rest.join(parts, "grp").select("grp", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), "id", "hashes")
+    spread = parts.join(sizes, "grp").select("grp", "parts", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    of_all = sets.join(spread, ["grp", "own"]).select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "id", "hashes")
+    return out.union(_compare(of_rest.unionByName(of_all), percent))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -311,7 +397,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(sided.mapInPandas(agreeing, "a long, b long"))
     members = settle(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")))
 
-    linked = verify(members, base, shingle, percent)
+    linked = verify(members, base, sig, shingle, percent)
     parts = settle(components(linked.union(copies)))
     out = seen.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")).join(parts.withColumnRenamed("node", "id"), "id", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
