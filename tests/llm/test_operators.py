@@ -330,6 +330,16 @@ def test_range_join_matches_brute_force(spark, block, monkeypatch):
     assert embed_dedup.near_vectors(d.where("vec_id < 0")).count() == 0
 
 
+def test_range_join_keeps_links_across_pivots_of_one_direction(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 12)
+    r = np.random.default_rng(7)
+    base = r.normal(size=(6, 64))
+    # rescaled copies of six vectors: equal up to rounding, and so are about eight pivots of each
+    rows = [(i, (base[i % 6] * r.uniform(0.1, 10)).tolist()) for i in range(600)]
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {x.vec_id: (x.n_links, x.component_id) for x in got} == {i: (99, i % 6) for i in range(600)}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></nav><!-- <p>gone</p> --><div class="cookie-notice"><p>We use cookies, as everyone does, to be sure.</p></div>
 <article><h1>A  Title &eacute;</h1><p>First <b>bold</b>er text, with &lt;signs&gt;.<p>Second<br>line of it, here.</article>
