@@ -311,6 +311,12 @@ def ego_nodes(spark, d):
     return graph.ego_nodes(_edges(c), c.where("cell_id % 10 = 0"), 2)
 
 
+@query(f"WITH {EDGES_SQL}{_EGO} SELECT unit_id, root_id, node_id, hop FROM ego")
+def ego_nodes_all_roots(spark, d):
+    c = _cells(spark, d)
+    return graph.ego_nodes(_edges(c), c, 2)
+
+
 @query(f"WITH {EDGES_SQL}{_EGO} SELECT ego.unit_id, ego.root_id, count(*) AS n FROM ego JOIN edges e ON e.unit_id = ego.unit_id AND e.src = ego.node_id JOIN ego g ON g.unit_id = ego.unit_id AND g.root_id = ego.root_id AND g.node_id = e.dst GROUP BY ALL")
 def ego_induced_edges(spark, d):
     c = _cells(spark, d)
@@ -330,6 +336,13 @@ def ego_radius(spark, d):
     return graph.ego_radius(graph.ego_nodes(e, c.where("cell_id % 5 = 0"), 2), e, c, 2, 15.0, 15.0)
 
 
+@query(ORACLES["ego_radius"].replace("ego.root_id % 5 = 0 AND ", ""))
+def ego_radius_all_roots(spark, d):
+    c = _cells(spark, d)
+    e = _edges(c)
+    return graph.ego_radius(graph.ego_nodes(e, c, 2), e, c, 2, 15.0, 15.0)
+
+
 _HULL = """, pr AS (SELECT a.unit_id, a.cell_id AS src, b.cell_id AS dst, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS yb FROM cells a JOIN cells b ON a.unit_id = b.unit_id AND a.cell_id < b.cell_id),
 hull AS (SELECT unit_id, src, dst, ax, ay, bx, yb FROM (
   SELECT pr.*, min((bx - ax) * (c.y - ay) - (yb - ay) * (c.x - ax)) AS lo, max((bx - ax) * (c.y - ay) - (yb - ay) * (c.x - ax)) AS hi
