@@ -752,9 +752,9 @@ def pca_project(spark, d):
 
 @query()
 def density_niches(spark, d):
-    s = _scores(spark, d)
-    fit = cluster.fit_density(s, 400, 15)
-    return niches.knn_vote(s.join(fit.select("cell_id"), "cell_id", "left_anti"), fit, 15).unionByName(fit.select("cell_id", "cluster"))
+    from mosaica.plans.commands import cluster_cells
+
+    return cluster_cells(_scores(spark, d))
 
 
 # ---- niches --------------------------------------------------------------------------------------------------------

@@ -83,11 +83,15 @@ def density_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int = 1,
             core[i] = np.partition(((x - x[i]) ** 2).sum(1), min(min_samples, n) - 1)[min(min_samples, n) - 1] ** 0.5
     near, to, left = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
     cur, tree = 0, []
+    sq = (x**2).sum(1)
+    slack = 1e-10 * float(sq.max())
     for _ in range(n - 1):
         left[cur] = False
-        d = np.maximum(np.maximum(((x - x[cur]) ** 2).sum(1) ** 0.5, core), core[cur])
-        closer = left & (d < near)
-        near[closer], to[closer] = d[closer], cur
+        # one product tells which points may come nearer; only those have their distance computed
+        some = np.flatnonzero(left & (sq + sq[cur] - 2 * (x @ x[cur]) < near**2 + slack))
+        d = np.maximum(np.maximum(((x[some] - x[cur]) ** 2).sum(1) ** 0.5, core[some]), core[cur])
+        closer = d < near[some]
+        near[some[closer]], to[some[closer]] = d[closer], cur
         cur = int(np.where(left, near, np.inf).argmin())
         tree.append((float(near[cur]), int(to[cur]), cur))
     tree.sort(key=lambda e: e[0])

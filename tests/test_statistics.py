@@ -168,3 +168,18 @@ def test_splits_and_folds(spark):
     two = spark.createDataFrame([(0, "a"), (0, "b"), (1, "b")], "fold int, id string")
     with pytest.raises(ValueError, match="two folds"):
         splits.check_folds(two, spark.createDataFrame([("a", "a", 1)], "unit_id string, group_id string, label int"))
+
+
+def test_density_niches_finds_a_rare_niche(spark, tmp_path):
+    from mosaica import catalog
+
+    r = np.random.default_rng(3)
+    # three directions; the last has 2.6 % of the vectors, more than the least cluster size of 300
+    group = np.repeat([0, 1, 2], [5845, 5845, 310])
+    v = np.eye(8)[group] + r.normal(0, 0.02, (len(group), 8))
+    rows = [(i, g, x) for i, (g, x) in enumerate(zip(group.tolist(), v.tolist(), strict=True))]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {x.cell_id: x.cluster for x in catalog.density_niches(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    rare = {got[i] for i in range(11690, 12000)} - {-1}
+    assert rare and not rare & {got[i] for i in range(11690)}
