@@ -9,31 +9,39 @@ two), the document's id (signed 64-bit), the number of tokens (unsigned 32-bit)
 and the tokens. Every file can be read from any offset of the index.
 
 Spark's text writer stores the records, so that task retries and lost executors
-leave no partial files and any Hadoop store will do. It ends each row with the
-line feed that closes a record.
+leave no partial files and any Hadoop store will do. A row of the writer is a
+chunk of records; it ends each with the line feed that closes the last of them,
+and begins a new file after a fixed number of chunks, which bounds the files in
+bytes (a document of its own size apart).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaica.llm.bpe import slices
+from mosaica.llm.bpe import byte_letters, slices
+from mosaica.llm.pool import Pool
 
 HEAD, PAYLOAD, SUM = struct.Struct("<QI"), struct.Struct("<BqI"), struct.Struct("<I")
-#: Words whose ids a worker keeps at most.
+#: Distinct parts of texts whose ids a worker keeps at most.
 MAX_CACHED = 400_000
+#: Bytes of records after which a chunk ends, and chunks of a file: files have CHUNK * CHUNKS bytes and a document at most.
+CHUNK, CHUNKS = 1 << 20, 64
 
 
-def masked_crc(data: bytes) -> int:
+def masked_crc(data: bytes | memoryview) -> int:
     c = zlib.crc32(data)
     return ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
@@ -44,9 +52,9 @@ def frame(payload: bytes) -> bytes:
     return head + SUM.pack(masked_crc(head)) + payload + SUM.pack(masked_crc(payload))
 
 
-def records(data: bytes):
-    """(offset, length, document id, ids as unsigned 32-bit numbers) of each record of a file; a wrong checksum is an error."""
-    at = 0
+def records(data: bytes | pa.Buffer, at: int = 0):
+    """(offset, length, document id, ids as unsigned 32-bit numbers) of each record of a file from byte `at` on; a wrong checksum is an error."""
+    data = memoryview(data)
     while at < len(data):
         size, check = HEAD.unpack_from(data, at)
         body = data[at + HEAD.size : at + HEAD.size + size]
@@ -65,50 +73,122 @@ def record(doc: int | None, ids: bytes, wide: bool) -> bytes:
 
 
 class WordEncoder:
-    """The tokenizers library, asked once for each word.
-
-    For files whose normaliser and pre-tokeniser never look across white space:
-    a text's ids are those of its words. Words of ASCII letters with a tail of
-    punctuation are further taken apart, as the pattern does.
+    """The tokenizers library, asked once for each distinct part of the texts.
+
+    For files whose normaliser and pre-tokeniser never look across white space
+    and whose tokens at word ends are marked; others are refused. A text's ids
+    are those of its parts: the words of the pre-tokeniser where a text is
+    Latin-1 (which NFC leaves alone and which lower-cases letter by letter), the
+    runs between blanks otherwise. New words go to the library's model many at a
+    time, in the letters that it has for bytes, and marked tokens tell where each
+    ends; other new parts go through the whole tokenizer.
     """
 
-    TAIL = re.compile(r"([a-z]+)([!-/:-@\[-`{-~]+)")
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Parts in one text for the library.
+    JOINED = 500
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self._check(path, spec)
         self.inner = Tokenizer.from_file(path)
         self.inner.no_padding()
         self.inner.no_truncation()
+        # words are cut and lower-cased already: what is left to do is the model's
+        self.bare = Tokenizer(self.inner.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {b: c for c, b in byte_letters().items() if b != 32}
         self.wide = self.inner.get_vocab_size() > 65536
         self.dtype = "<u4" if self.wide else "<u2"
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.pool = Pool(self.dtype, MAX_CACHED)
+        mark = spec["model"]["end_of_word_suffix"]
+        self.last = np.zeros(self.inner.get_vocab_size(), bool)
+        self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(mark)]] = True
+        self.added = [t["content"] for t in spec["added_tokens"]]
         self.blank = re.compile(r"[ \t\n\r\x0b\x0c]+")
-        self.odd = re.compile(r"[\x1c-\x1f]")
-
-    def ask(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for at in range(0, len(words), 20_000) for e in self.inner.encode_batch(words[at : at + 20_000], add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(self.blank.split(t) if self.odd.search(t) else t.split()) if t else [] for t in texts]
-        met: set[str] = set()
-        for w in split:
-            met.update(w)
-        words, parts = self.words, self.parts
-        fresh = list(met.difference(words))
-        cut = [(m[1], m[2]) if w.isascii() and (m := self.TAIL.fullmatch(w.lower())) else (w,) for w in fresh]
-        cut = [c if len(c) > 1 or not c[0].isascii() or not c[0].isalpha() else (c[0].lower(),) for c in cut]
-        new = list({p for c in cut for p in c}.difference(parts))
-        parts.update(zip(new, self.ask(new), strict=True))
-        words.update(zip(fresh, (b"".join(map(parts.__getitem__, c)) for c in cut), strict=True))
-        out = [b"".join(map(words.__getitem__, w)) for w in split]
-        for own, added in ((words, fresh), (parts, new)):
-            for w in added[max(0, len(added) - max(0, len(own) - MAX_CACHED)) :]:
-                del own[w]
+        kind = {k: "".join(re.escape(chr(c)) for c in range(256) if regex.fullmatch(v, chr(c))) for k, v in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s"))}
+        written_out = f"[{kind['L']}]+|'(?:[stmd]|re|ve|ll)|[{kind['N']}]|[^{kind['S']}{kind['L']}{kind['N']}]+"
+        self.words = re.compile(written_out.encode("latin-1")).findall
+        self.lower = bytes(ord(chr(c).lower()) for c in range(256))
+
+    def _check(self, path: str, spec: dict) -> None:
+        steps = [(n["type"], n.get("pattern", {}).get("Regex"), n.get("content")) for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        model = spec["model"]
+        sound = (
+            steps == [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]
+            and [p["type"] for p in pre] == ["Split", "ByteLevel"]
+            and pre[0]["pattern"] == {"Regex": self.PATTERN}
+            and (pre[0]["behavior"], pre[0]["invert"]) == ("Removed", True)
+            and not pre[1]["add_prefix_space"]
+            and not pre[1]["use_regex"]
+            and model["type"] == "BPE"
+            and not model["dropout"]
+            and model["end_of_word_suffix"]
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not t["content"] or t["content"].split() != [t["content"]] for t in spec["added_tokens"])
+        )
+        if not sound:
+            raise ValueError(f"{path}: not a lower-casing BPE of words with marked ends")
+
+    def parts(self, text: str) -> list[bytes | str]:
+        """Lower-cased words in Latin-1 as bytes; where a run between blanks has other characters or an added token, the run itself."""
+        special = any(a in text for a in self.added)
+        if not special:
+            try:
+                return self.words(text.encode("latin-1").translate(self.lower))
+            except UnicodeEncodeError:
+                pass
+        out: list[bytes | str] = []
+        for run in self.blank.split(text):
+            try:
+                raw = None if special and any(a in run for a in self.added) else run.encode("latin-1")
+            except UnicodeEncodeError:
+                raw = None
+            if raw is not None:
+                out += self.words(raw.translate(self.lower))
+            elif run:
+                out.append(run)
         return out
 
+    def _ask(self, model, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for at in range(0, len(texts), 20_000) for e in model.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+
+    def _spelt(self, words: list[bytes]) -> str:
+        """Words in the letters that stand for their UTF-8 bytes, between blanks."""
+        return b" ".join(words).decode("latin-1").encode().decode("latin-1").translate(self.letters)
+
+    def learn(self, fresh: list[bytes | str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new parts in a row and their numbers."""
+        words = [p for p in fresh if isinstance(p, bytes)]
+        blocks = [words[at : at + self.JOINED] for at in range(0, len(words), self.JOINED)]
+        ids, size = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for block, got in zip(blocks, self._ask(self.bare, [self._spelt(b) for b in blocks]), strict=True):
+            stops = np.flatnonzero(self.last[got]) + 1
+            if len(stops) == len(block) and stops[-1] == len(got):
+                ids.append(got)
+                size.append(np.diff(stops, prepend=0))
+            else:
+                one_by_one = self._ask(self.inner, [w.decode("latin-1") for w in block])
+                ids += one_by_one
+                size.append(np.fromiter(map(len, one_by_one), np.int64))
+        ids, size = np.concatenate(ids), np.concatenate(size)
+        if len(words) == len(fresh):
+            return ids, size
+        runs = iter(self._ask(self.inner, [p for p in fresh if isinstance(p, str)]))
+        done = iter(np.split(ids, np.cumsum(size)[:-1]))
+        both = [next(done if isinstance(p, bytes) else runs) for p in fresh]
+        return np.concatenate(both), np.fromiter(map(len, both), np.int64)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [self.parts(t) if t else [] for t in texts]
+        ids, stops = self.pool.gather(chain.from_iterable(split), self.learn)
+        edges = np.concatenate([[0], stops])[np.cumsum([0, *map(len, split)])].tolist()
+        return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> WordEncoder:
@@ -123,42 +203,83 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1,
     texts. The index has a row for each record: file, id, offset, length,
     n_tokens and ids_crc32; it is made from the files as they were written.
     """
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         model = load(vocabulary)
         end = np.array([end_id], model.dtype).tobytes()
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["text"]]
-            ids = [None if pd.isna(x) else int(x) for x in pdf["id"]]
-            for a, b in slices(texts):
-                yield pd.DataFrame({"record": [record(doc, got + end, model.wide) for doc, got in zip(ids[a:b], model.encode(texts[a:b]), strict=True)]})
+        chunk, room = [], CHUNK
+        for batch in batches:
+            ids, texts, full = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for a, b in slices(texts, 1_000_000):
+                for doc, got in zip(ids[a:b], model.encode(texts[a:b]), strict=True):
+                    chunk.append(record(doc, got.tobytes() + end, model.wide))
+                    room -= len(chunk[-1])
+                    if room <= 0:
+                        full.append(b"\n".join(chunk))
+                        chunk, room = [], CHUNK
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.binary())], ["chunk"])
+        if chunk:
+            yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(chunk)], pa.binary())], ["chunk"])
 
     ordered = read.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    ordered.mapInPandas(run, "record binary").select(F.col("record").cast("string").alias("value")).write.text(f"{path}/data", compression="none")
+    chunks = ordered.mapInArrow(run, "chunk binary").select(F.col("chunk").cast("string").alias("value"))
+    chunks.write.option("maxRecordsPerFile", CHUNKS).text(f"{path}/data", compression="none")
     scan(docs.sparkSession, path).write.parquet(f"{path}/index")
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data").select("path", "content")
+
+
+INDEX = "file string, doc_id long, offset long, length long, n_tokens long, ids_crc32 long"
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """Read every record of `path`/data and check it: (file, doc_id, offset, length, n_tokens, ids_crc32)."""
 
     def run(batches):
-        for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [(name.rpartition("/")[2], doc, at, size, len(ids), zlib.crc32(ids.tobytes())) for at, size, doc, ids in records(data)]
-                out = pd.DataFrame(rows, columns=["file", "doc_id", "offset", "length", "n_tokens", "ids_crc32"])
-                yield out.astype({"doc_id": "Int64"})
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = [(name.rpartition("/")[2], doc, at, size, len(ids), zlib.crc32(ids)) for at, size, doc, ids in records(data.as_buffer())]
+                columns = zip(*rows, strict=True) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *[pa.int64()] * 5], strict=True)], ["file", "doc_id", "offset", "length", "n_tokens", "ids_crc32"])
+
+    return _files(spark, path).mapInArrow(run, INDEX)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data").select("path", "content")
-    return files.mapInPandas(run, "file string, doc_id long, offset long, length long, n_tokens long, ids_crc32 long")
+
+def file_order(file: Column) -> Column:
+    """(partition, file of the partition) by number: as text, names go wrong from the hundred thousandth partition on."""
+    return F.struct(F.regexp_extract(file, r"^part-(\d+)", 1).cast("long").alias("part"), F.coalesce(F.try_to_number(F.regexp_extract(file, r"-c(\d+)", 1), F.lit("999999999")), F.lit(0)).cast("long").alias("piece"))
 
 
 def positions(spark: SparkSession, path: str) -> DataFrame:
-    """The index with `start`: the tokens of all records before, in the order of the files."""
-    index = spark.read.schema("file string, doc_id long, offset long, length long, n_tokens long, ids_crc32 long").parquet(f"{path}/index")
+    """The index with `start`: the tokens of all records before, in the order of the files. Files, not records, are numbered in one window."""
+    index = spark.read.schema(INDEX).parquet(f"{path}/index")
     per_file = index.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(file_order(F.col("file"))).rowsBetween(Window.unboundedPreceding, -1)
     per_file = per_file.select("file", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("base"))
     within = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
     out = index.join(per_file, "file").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     return out.drop("base")
+
+
+def shuffled(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
+    """All records in an order drawn by `seed`: (position, doc_id, ids as little-endian unsigned 32-bit numbers).
+
+    Positions come from the index alone; every file is then read once, each
+    record from its offset, and only the ids move to their places.
+    """
+    place = spark.read.schema(INDEX).parquet(f"{path}/index").select("file", "offset", F.xxhash64("file", "offset", F.lit(seed)).alias("position"))
+    wanted = place.groupBy("file").agg(F.collect_list(F.struct("offset", "position")).alias("places"))
+    files = _files(spark, path).withColumn("file", F.element_at(F.split("path", "/"), -1)).join(wanted, "file").select("content", "places")
+
+    def run(batches):
+        for batch in batches:
+            for data, places in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                raw = data.as_buffer()
+                for p in places:
+                    _, _, doc, ids = next(records(raw, p["offset"]))
+                    yield pa.RecordBatch.from_arrays([pa.array([p["position"]], pa.int64()), pa.array([doc], pa.int64()), pa.array([ids.tobytes()], pa.binary())], ["position", "doc_id", "ids"])
+
+    return files.mapInArrow(run, "position long, doc_id long, ids binary").orderBy("position")
