@@ -4,26 +4,36 @@ For each distinct word a greedy longest match proposes tokens, all words of a
 batch at once on an array trie. A sequence of tokens is what merging gives if
 every adjacent pair is: merging the bytes of the two gives just those two. All
 adjacent pairs are tested together; only words with a failing pair, or with a
-token that merging cannot make, are merged exactly.
+token that merging cannot make, are merged exactly: first around the failing
+places, which the same test then confirms, and over a wider stretch, in the end
+the whole word, where it does not.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from mosaica.llm.pool import Pool
 
 #: Words whose ids a worker keeps at most; others are encoded again when met.
-MAX_CACHED = 200_000
+MAX_CACHED = 400_000
 #: Likewise for tested pairs of tokens.
 MAX_CACHED_PAIRS = 400_000
-#: Words longer than this many bytes are merged exactly without speculation.
-MAX_SPECULATED = 64
+#: Tokens on either side of a failing place that are merged again at first.
+REACH = 3
+#: Bytes from which on the two ways to do the same are by place instead of by row: longest matches, and exact merging.
+LONG = 128
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,12 +83,16 @@ class ByteBPE:
         self.split = regex.compile(self.PATTERN)
         kinds = {k: "".join(re.escape(chr(c)) for c in range(256) if regex.fullmatch(v, chr(c))) for k, v in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s"))}
         lns = "".join(kinds.values())
-        self.split_latin = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{kinds['L']}]+| ?[{kinds['N']}]+| ?[^{lns}]+|[{kinds['S']}]+(?![^{kinds['S']}])|[{kinds['S']}]+").findall
+        latin = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{kinds['L']}]+| ?[{kinds['N']}]+| ?[^{lns}]+|[{kinds['S']}]+(?![^{kinds['S']}])|[{kinds['S']}]+"
+        self.split_latin = re.compile(latin.encode("latin-1")).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.cache: dict[str, bytes] = {}
+        self.pool = Pool("<u4", MAX_CACHED)
         self.pairs_seen: dict[int, bool] = {}
         self._trie(ids)
-        self.table = [self.bytes_of.get(i, self.added_bytes.get(i, b"")) for i in range(max([self.size - 1, *self.added_bytes]) + 1)]
+        shown = [self.bytes_of.get(i, self.added_bytes.get(i, b"")) for i in range(max([self.size - 1, *self.added_bytes]) + 1)]
+        self.token_bytes, self.token_size = np.frombuffer(b"".join(shown), np.uint8), np.fromiter(map(len, shown), np.int64)
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.rule = {p: (r, m) for p, r, m in zip(self.pairs.tolist(), self.ranks.tolist(), self.made.tolist(), strict=True)}
         # tokens that merging their own bytes gives back: only those can stand in a result
         tokens = [b for b in ids]
         self.firm = np.zeros(self.size, bool)
@@ -104,12 +118,16 @@ class ByteBPE:
         return at, self.pairs[at] == code
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Exact merging, a round for all words at a time: each applies its lowest-ranked merge everywhere, from the left."""
+        """Exact merging: each word applies its lowest-ranked merge everywhere, from the left, until none is left."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
         by_size = sorted(range(len(words)), key=lambda i: len(words[i]))
         at = 0
         while at < len(by_size):
             longest = max(len(words[by_size[at]]), 8)
+            if longest > LONG:
+                out[by_size[at]] = self._merge_queue(words[by_size[at]])
+                at += 1
+                continue
             some = [by_size[at]]
             at += 1
             while at < len(by_size) and len(words[by_size[at]]) <= 2 * longest and len(some) < max(1, 2_000_000 // (2 * longest)):
@@ -119,6 +137,30 @@ class ByteBPE:
                 out[i] = got
         return out
 
+    def _merge_queue(self, word: bytes) -> np.ndarray:
+        """One long word, with a queue of its pairs by rank and place: n log n in its bytes."""
+        rule = self.rule
+        ids = self.base[np.frombuffer(word, np.uint8)].tolist()
+        n, size = len(ids), self.size
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(*r, k, x, y) for k, (x, y) in enumerate(zip(ids, ids[1:], strict=False)) if (r := rule.get(x * size + y))]
+        heapq.heapify(queue)
+        while queue:
+            _, made, k, x, y = heapq.heappop(queue)
+            right = after[k]
+            if ids[k] != x or right >= n or ids[right] != y:
+                continue  # one of the two has merged with another since
+            ids[k], ids[right] = made, -1
+            far = after[k] = after[right]
+            if far < n:
+                before[far] = k
+                if r := rule.get(made * size + ids[far]):
+                    heapq.heappush(queue, (*r, k, made, ids[far]))
+            left = before[k]
+            if left >= 0 and (r := rule.get(ids[left] * size + made)):
+                heapq.heappush(queue, (*r, left, ids[left], made))
+        return np.array([i for i in ids if i >= 0], np.int64)
+
     def _merge_block(self, words: list[bytes]) -> list[np.ndarray]:
         n, width = len(words), max(map(len, words), default=0)
         if not width:
@@ -139,8 +181,10 @@ class ByteBPE:
             if not len(live):
                 break
             hit = rank == least[:, None]
-            for k in range(1, hit.shape[1]):  # of overlapping places (a a a) the left one merges
-                hit[:, k] &= ~hit[:, k - 1]
+            # of overlapping places (a a a) the left one merges: every second place of a run of hits
+            place = np.arange(hit.shape[1])
+            run = np.maximum.accumulate(np.where(hit, -1, place), axis=1)
+            hit &= (place - run) % 2 == 1
             r, c = np.nonzero(hit)
             g[r, c] = self.made[at[r, c]]
             g[r, c + 1] = -2
@@ -155,7 +199,51 @@ class ByteBPE:
         return [row[row >= 0] for row in grid]
 
     def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy longest match: tokens row by row, -1 behind the end; and the number of tokens."""
+        """Greedy longest match: the tokens of all words in a row, and the number of each word's."""
+        count = np.zeros(len(words), np.int64)
+        made: list[np.ndarray | None] = [None] * len(words)
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG]
+        for at in range(0, len(short), 50_000):
+            some = short[at : at + 50_000]
+            grid, n = self._by_row([words[i] for i in some])
+            count[some] = n
+            for i, row, k in zip(some, grid, n.tolist(), strict=True):
+                made[i] = row[:k]
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                made[i] = self._by_place(w)
+                count[i] = len(made[i])
+        return np.concatenate([np.zeros(0, np.int64), *(m for m in made if m is not None)]), count
+
+    def _step(self, node: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the trie goes on from each node by a byte, and to where."""
+        code = node * 256 + byte
+        place = np.minimum(np.searchsorted(self.edge, code), len(self.edge) - 1)
+        return self.edge[place] == code, self.child[place]
+
+    def _by_place(self, word: bytes) -> np.ndarray:
+        """Longest matches of one long word: found for all places together, then followed from the start."""
+        raw = np.concatenate([np.frombuffer(word, np.uint8), np.zeros(1, np.uint8)]).astype(np.int64)
+        n = len(word)
+        best, end = np.zeros(n, np.int64), np.arange(1, n + 1)
+        on, node, depth = np.arange(n), np.zeros(n, np.int64), 0
+        while len(on):
+            fine, child = self._step(node, raw[on + depth])
+            fine &= on + depth < n
+            on, node = on[fine], child[fine].astype(np.int64)
+            depth += 1
+            real = self.token[node] >= 0
+            best[on[real]], end[on[real]] = self.token[node[real]], on[real] + depth
+            keep = on + depth < n
+            on, node = on[keep], node[keep]
+        follow, at, taken = end.tolist(), 0, []
+        while at < n:
+            taken.append(at)
+            at = follow[at]
+        return best[taken]
+
+    def _by_row(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Longest matches of short words, a token of every word at a time: tokens row by row, and their numbers."""
         n, size = len(words), np.array([len(w) for w in words])
         width = int(size.max())
         raw = np.zeros((n, width + 1), np.int64)
@@ -166,10 +254,8 @@ class ByteBPE:
             node, best, end = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64), pos[live].copy()
             at, on = pos[live].copy(), np.arange(len(live))
             while len(on):
-                code = node[on] * 256 + raw[live[on], at[on]]
-                place = np.minimum(np.searchsorted(self.edge, code), len(self.edge) - 1)
-                fine = (self.edge[place] == code) & (at[on] < size[live[on]])
-                step = self.child[place]
+                fine, step = self._step(node[on], raw[live[on], at[on]])
+                fine &= at[on] < size[live[on]]
                 on, step = on[fine], step[fine]
                 node[on] = step
                 at[on] += 1
@@ -196,59 +282,90 @@ class ByteBPE:
             known[c] = len(g) == 2 and g[0] == c // self.size and g[1] == c % self.size
         return np.array([known[c] for c in distinct.tolist()], bool)[back]
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word, by proposal and test, with exact merging for those that fail."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        tried = [i for i, w in enumerate(words) if 0 < len(w) <= MAX_SPECULATED]
-        for at in range(0, len(tried), 50_000):
-            some = tried[at : at + 50_000]
-            ids, count = self.propose([words[i] for i in some])
-            rows, cols = np.nonzero(ids[:, 1:] >= 0)
-            bad = np.zeros(len(some), bool)
-            if len(rows):
-                bad[rows[~self.compatible(ids[rows, cols], ids[rows, cols + 1])]] = True
-            loose = (ids >= 0) & ~self.firm[np.maximum(ids, 0)]
-            bad |= loose.any(1)
-            for k in np.flatnonzero(~bad).tolist():
-                out[some[k]] = ids[k, : count[k]]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, got in zip(rest, self.merge([words[i] for i in rest]), strict=True):
-            out[i] = got
-        return out
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and the number of each word's, by proposal and test, with exact merging for those that fail."""
+        return self._verified(*self.propose(words), REACH)
 
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text as unsigned 32-bit numbers (null: none), as the library gives without special tokens added."""
-        cache, added = self.cache, self.added
-        plain: list[list] = []
-        met: set[str] = set()
-        for t in texts:
-            pieces: list = []
-            for part in self.cut.split(t) if t and self.cut and any(a in t for a in added) else [t or ""]:
-                if part in added:
-                    pieces.append(added[part])
-                elif part:
-                    pieces.append(self.pieces(part))
-                    met.update(pieces[-1])
-            plain.append(pieces)
-        fresh = list(met.difference(cache))
-        cache.update(zip(fresh, (ids.astype("<u4").tobytes() for ids in self.encode_words([w.encode() for w in fresh])), strict=True))
-        find = cache.__getitem__
-        out = [np.frombuffer(b"".join([np.uint32(p).tobytes() if isinstance(p, int) else b"".join(map(find, p)) for p in pieces]), "<u4") for pieces in plain]
-        for w in fresh[max(0, len(fresh) - max(0, len(cache) - MAX_CACHED)) :]:
-            del cache[w]
-        return out
+    def _verified(self, tokens: np.ndarray, count: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens if they pass the test; else with the words that fail merged again around their failing places and tested again."""
+        word = np.repeat(np.arange(len(count)), count)
+        bad = ~self.firm[tokens]
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        torn = inner[~self.compatible(tokens[inner], tokens[inner + 1])]
+        bad[torn] = bad[torn + 1] = True
+        failing = np.unique(word[bad])
+        if not len(failing):
+            return tokens, count
+        fails = np.zeros(len(count), bool)
+        fails[failing] = True
+        pick = fails[word]
+        got, n = self._merged_around(tokens[pick], count[failing], bad[pick], reach)
+        if reach < count[failing].max():  # otherwise whole words were merged, and that is what they are
+            got, n = self._verified(got, n, 4 * reach)
+        count = count.copy()
+        count[failing] = n
+        pick_new = fails[np.repeat(np.arange(len(count)), count)]
+        out = np.empty(len(pick_new), np.int64)
+        out[pick_new], out[~pick_new] = got, tokens[~pick]
+        return out, count
 
-    def pieces(self, text: str) -> list[str]:
-        """The pre-tokeniser's words. Texts in Latin-1 take the same pattern with its classes written out, for a faster engine."""
+    def _merged_around(self, tokens: np.ndarray, count: np.ndarray, bad: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens with all stretches of `reach` around bad ones, within their words, merged from their bytes."""
+        stops = np.cumsum(count)
+        word = np.repeat(np.arange(len(count)), count)
+        at = np.flatnonzero(bad)
+        depth = np.zeros(len(tokens) + 1, np.int64)
+        np.add.at(depth, np.maximum(at - reach, (stops - count)[word[at]]), 1)
+        np.add.at(depth, np.minimum(at + reach + 1, stops[word[at]]), -1)
+        inside = np.cumsum(depth[:-1]) > 0
+        opens = inside & ~(np.concatenate([[False], inside[:-1]]) & np.concatenate([[False], word[1:] == word[:-1]]))
+        closes = inside & ~(np.concatenate([inside[1:], [False]]) & np.concatenate([word[1:] == word[:-1], [False]]))
+        first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        listed = tokens.tolist()
+        merged = self.merge([b"".join(map(self.bytes_of.__getitem__, listed[a:b])) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+        edges = np.concatenate([[0], last])
+        out = list(chain.from_iterable((tokens[e:a], m) for e, a, m in zip(edges.tolist(), first.tolist(), merged, strict=False)))
+        change = np.fromiter(map(len, merged), np.int64, len(merged)) - (last - first)
+        return np.concatenate([*out, tokens[edges[-1] :]]), count + np.bincount(word[first], change, len(count)).astype(np.int64)
+
+    def learn(self, fresh: list[bytes | str | int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words in a row, and their numbers. Words of Latin-1 texts are bytes in that encoding, an added token is its id."""
+        ids, count = self.encode_words([b"" if isinstance(w, int) else w.encode() if isinstance(w, str) else w if w.isascii() else w.decode("latin-1").encode() for w in fresh])
+        tokens = [k for k, w in enumerate(fresh) if isinstance(w, int)]
+        if not tokens:
+            return ids, count
+        parts = np.split(ids, np.cumsum(count)[:-1])
+        for k in tokens:
+            parts[k] = np.array([fresh[k]], np.int64)
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row as unsigned 32-bit numbers, and where each text begins and the last ends (null: none), as the library gives without special tokens added."""
+        split = [self.words(t) if t else [] for t in texts]
+        ids, stops = self.pool.gather(chain.from_iterable(split), self.learn)
+        return ids, np.concatenate([[0], stops])[np.cumsum([0, *map(len, split)])]
+
+    def words(self, text: str) -> list[bytes | str | int]:
+        """The pre-tokeniser's words, with the ids of added tokens between them."""
+        if not any(a in text for a in self.added):
+            return self.pieces(text)
+        parts = (([self.added[p]] if p in self.added else self.pieces(p)) for p in self.cut.split(text) if p)
+        return list(chain.from_iterable(parts))
+
+    def pieces(self, text: str) -> list[bytes] | list[str]:
+        """The words of a text without added tokens. Texts in Latin-1 take the same pattern with its classes written out, for a faster engine."""
         try:
-            text.encode("latin-1")
+            return self.split_latin(text.encode("latin-1"))
         except UnicodeEncodeError:
             return self.split.findall(text)
-        return self.split_latin(text)
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids, special tokens included; bytes that are not UTF-8 become U+FFFD."""
-        return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode_batch(self, ids: np.ndarray, edges: np.ndarray) -> list[str]:
+        """The texts of ids between edges, special tokens included; bytes that are not UTF-8 become U+FFFD."""
+        size = self.token_size[ids]
+        stops = np.cumsum(size)
+        raw = self.token_bytes[np.repeat(self.token_start[ids] - stops + size, size) + np.arange(stops[-1] if len(stops) else 0)].tobytes()
+        at = np.concatenate([[0], stops])[edges].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -269,22 +386,30 @@ def slices(texts: list[str | None], chars: int = 2_000_000):
         yield start, len(texts)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """Per row of `docs`: id, ids (little-endian unsigned 32-bit numbers) and, if asked for, the text decoded from them.
+def ids_column(path: str, text: str | Column, decoded: bool = False) -> Column:
+    """A column of structs: ids (little-endian unsigned 32-bit numbers) of each whole text and, if asked for, the text decoded from them.
 
-    `path` names a byte-level BPE file that every executor can read. Whole texts
-    are encoded; a null text is an empty one.
+    `path` names a byte-level BPE file that every executor can read. A null text
+    is an empty one.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches):
+    @F.arrow_udf("struct<ids: binary, decoded: string>" if decoded else "struct<ids: binary>")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load(path)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["text"]]
-            for a, b in slices(texts):
-                got = model.encode_batch(texts[a:b])
-                out = pd.DataFrame({"id": pdf["id"].iloc[a:b].array, "ids": [g.tobytes() for g in got]})
-                yield out.assign(decoded=[model.decode(g) for g in got]) if decoded else out
-
-    read = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
-    return read.mapInPandas(run, f"id {kind}, ids binary" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
+        for column in batches:
+            ids, back = [], []
+            for a, b in slices(texts := column.to_pylist(), 1_000_000):
+                got, edges = model.encode_batch(texts[a:b])
+                at, raw = (4 * edges).tolist(), got.tobytes()
+                ids += [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
+                back += model.decode_batch(got, edges) if decoded else []
+            out = {"ids": pa.array(ids, pa.binary())} | ({"decoded": pa.array(back, pa.string())} if decoded else {})
+            yield pa.StructArray.from_arrays(list(out.values()), list(out))
+
+    return encoded(text)
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """Per row of `docs`: id, ids and, if asked for, decoded, as `ids_column` has them. Ids of documents do not pass through Python."""
+    read = docs.select(F.col(id_col), ids_column(path, F.col(text_col).cast("string"), decoded).alias("__got" if id_col != "__got" else "__got_"))
+    return read.select(read.columns[0], f"{read.columns[1]}.*")
