@@ -16,13 +16,18 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from mosaica.llm.bpe import slices
+from mosaica.llm.pool import Pool
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -133,16 +138,20 @@ def load(path: str) -> UnigramCounter:
     return UnigramCounter(read_pieces(path))
 
 
-def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of `docs`: id, n_chars and n_tokens of the whole text (null: 0), by the pieces and scores of the file at `path`."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def count_column(path: str, text: str | Column) -> Column:
+    """A column with the number of tokens of each whole text (null: 0), by the pieces and scores of the file at `path`."""
 
-    def run(batches):
+    @F.arrow_udf("long")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load(path)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["text"]]
-            for a, b in slices(texts):
-                yield pd.DataFrame({"id": pdf["id"].iloc[a:b].array, "n_chars": [len(t or "") for t in texts[a:b]], "n_tokens": model.counts(texts[a:b])})
+        for column in batches:
+            texts = column.to_pylist()
+            yield pa.array([n for a, b in slices(texts, 1_000_000) for n in model.counts(texts[a:b])], pa.int64())
+
+    return counted(text)
 
-    read = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
-    return read.mapInPandas(run, f"id {kind}, n_chars long, n_tokens long").withColumnRenamed("id", id_col)
+
+def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of `docs`: id, n_chars and n_tokens of the whole text (null: 0), as `count_column` has them."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("n_chars"), count_column(path, text).alias("n_tokens"))
