@@ -13,8 +13,7 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -24,12 +23,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.pool import Pool
+from mosaica.llm.pool import BLANK, LETTER, NUMBER, OTHER, Pool, Words, cut, in_slices, latin
 
 #: Words whose ids a worker keeps at most; others are encoded again when met.
-MAX_CACHED = 400_000
+MAX_CACHED = 600_000
 #: Likewise for tested pairs of tokens.
-MAX_CACHED_PAIRS = 400_000
+MAX_CACHED_PAIRS = 200_000
 #: Tokens on either side of a failing place that are merged again at first.
 REACH = 3
 #: Bytes from which on the two ways to do the same are by place instead of by row: longest matches, and exact merging.
@@ -43,6 +42,14 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def byte_kinds() -> np.ndarray:
+    """The kind of each letter of Latin-1, as the patterns of the vocabularies see it."""
+    kinds = np.full(256, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s")):
+        kinds[[c for c in range(256) if regex.fullmatch(pattern, chr(c))]] = kind
+    return kinds
+
+
 class ByteBPE:
     """Encoder and decoder for a byte-level BPE file of the tokenizers library.
 
@@ -81,12 +88,9 @@ class ByteBPE:
             raise ValueError(f"{path}: added tokens that look around are not supported")
         self.added_bytes = {i: t.encode() for t, i in self.added.items()}
         self.split = regex.compile(self.PATTERN)
-        kinds = {k: "".join(re.escape(chr(c)) for c in range(256) if regex.fullmatch(v, chr(c))) for k, v in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s"))}
-        lns = "".join(kinds.values())
-        latin = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{kinds['L']}]+| ?[{kinds['N']}]+| ?[^{lns}]+|[{kinds['S']}]+(?![^{kinds['S']}])|[{kinds['S']}]+"
-        self.split_latin = re.compile(latin.encode("latin-1")).findall
+        self.kinds = byte_kinds()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pool = Pool("<u4", MAX_CACHED)
+        self.words, self.pool = Words("<u4", MAX_CACHED), Pool("<u4", MAX_CACHED)
         self.pairs_seen: dict[int, bool] = {}
         self._trie(ids)
         shown = [self.bytes_of.get(i, self.added_bytes.get(i, b"")) for i in range(max([self.size - 1, *self.added_bytes]) + 1)]
@@ -130,7 +134,7 @@ class ByteBPE:
                 continue
             some = [by_size[at]]
             at += 1
-            while at < len(by_size) and len(words[by_size[at]]) <= 2 * longest and len(some) < max(1, 2_000_000 // (2 * longest)):
+            while at < len(by_size) and len(words[by_size[at]]) <= 2 * longest and len(some) < max(1, 500_000 // (2 * longest)):
                 some.append(by_size[at])
                 at += 1
             for i, got in zip(some, self._merge_block([words[i] for i in some]), strict=True):
@@ -201,19 +205,19 @@ class ByteBPE:
     def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest match: the tokens of all words in a row, and the number of each word's."""
         count = np.zeros(len(words), np.int64)
-        made: list[np.ndarray | None] = [None] * len(words)
         short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG]
-        for at in range(0, len(short), 50_000):
-            some = short[at : at + 50_000]
-            grid, n = self._by_row([words[i] for i in some])
-            count[some] = n
-            for i, row, k in zip(some, grid, n.tolist(), strict=True):
-                made[i] = row[:k]
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                made[i] = self._by_place(w)
-                count[i] = len(made[i])
-        return np.concatenate([np.zeros(0, np.int64), *(m for m in made if m is not None)]), count
+        flat = [np.zeros(0, np.int64)]
+        for at in range(0, len(short), 10_000):
+            some = short[at : at + 10_000]
+            grid, count[some] = self._by_row([words[i] for i in some])
+            flat.append(grid[grid >= 0].astype(np.int64))
+        tokens = np.concatenate(flat)
+        if len(short) < len(words):
+            parts = dict(zip(short, np.split(tokens, np.cumsum(count[short])[:-1]), strict=True)) if short else {}
+            parts |= {i: self._by_place(w) for i, w in enumerate(words) if len(w) > LONG}
+            count[list(parts)] = [len(p) for p in parts.values()]
+            tokens = np.concatenate([flat[0], *(parts[i] for i in sorted(parts))])
+        return tokens, count
 
     def _step(self, node: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether the trie goes on from each node by a byte, and to where."""
@@ -246,9 +250,9 @@ class ByteBPE:
         """Longest matches of short words, a token of every word at a time: tokens row by row, and their numbers."""
         n, size = len(words), np.array([len(w) for w in words])
         width = int(size.max())
-        raw = np.zeros((n, width + 1), np.int64)
+        raw = np.zeros((n, width + 1), np.uint8)
         raw[:, :width][np.arange(width) < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
-        out, count, pos = np.full((n, width), -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        out, count, pos = np.full((n, width), -1, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
         live = np.arange(n)
         while len(live):
             node, best, end = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64), pos[live].copy()
@@ -328,44 +332,69 @@ class ByteBPE:
         change = np.fromiter(map(len, merged), np.int64, len(merged)) - (last - first)
         return np.concatenate([*out, tokens[edges[-1] :]]), count + np.bincount(word[first], change, len(count)).astype(np.int64)
 
-    def learn(self, fresh: list[bytes | str | int]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of new words in a row, and their numbers. Words of Latin-1 texts are bytes in that encoding, an added token is its id."""
-        ids, count = self.encode_words([b"" if isinstance(w, int) else w.encode() if isinstance(w, str) else w if w.isascii() else w.decode("latin-1").encode() for w in fresh])
-        tokens = [k for k, w in enumerate(fresh) if isinstance(w, int)]
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words in Latin-1, in a row, and their numbers."""
+        return self.encode_words([w if w.isascii() else w.decode("latin-1").encode() for w in words])
+
+    def learn_strings(self, words: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of other new words, in a row, and their numbers; an added token is its id."""
+        ids, count = self.encode_words([w.encode() if isinstance(w, str) else b"" for w in words])
+        tokens = [k for k, w in enumerate(words) if isinstance(w, int)]
         if not tokens:
             return ids, count
         parts = np.split(ids, np.cumsum(count)[:-1])
         for k in tokens:
-            parts[k] = np.array([fresh[k]], np.int64)
+            parts[k] = np.array([words[k]], np.int64)
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
-    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row as unsigned 32-bit numbers, and where each text begins and the last ends (null: none), as the library gives without special tokens added."""
-        split = [self.words(t) if t else [] for t in texts]
-        ids, stops = self.pool.gather(chain.from_iterable(split), self.learn)
+    def _latin(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw, first = latin(texts)
+        start, end = cut(raw, first, self.kinds, keep_blanks=True, whole_numbers=True)
+        ids, stops = self.words.gather(raw, start, end, self.learn)
+        return ids, np.concatenate([[0], stops])[np.searchsorted(start, np.append(first, len(raw)))]
+
+    def _other(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = [self.pieces(t) for t in texts]
+        ids, stops = self.pool.gather(chain.from_iterable(split), self.learn_strings)
         return ids, np.concatenate([[0], stops])[np.cumsum([0, *map(len, split)])]
 
-    def words(self, text: str) -> list[bytes | str | int]:
+    def pieces(self, text: str) -> list[str | int]:
         """The pre-tokeniser's words, with the ids of added tokens between them."""
-        if not any(a in text for a in self.added):
-            return self.pieces(text)
-        parts = (([self.added[p]] if p in self.added else self.pieces(p)) for p in self.cut.split(text) if p)
-        return list(chain.from_iterable(parts))
+        parts = self.cut.split(text) if self.cut else [text]
+        return list(chain.from_iterable([self.added[p]] if p in self.added else self.split.findall(p) for p in parts if p))
 
-    def pieces(self, text: str) -> list[bytes] | list[str]:
-        """The words of a text without added tokens. Texts in Latin-1 take the same pattern with its classes written out, for a faster engine."""
-        try:
-            return self.split_latin(text.encode("latin-1"))
-        except UnicodeEncodeError:
-            return self.split.findall(text)
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit numbers (null: none), as the library gives without special tokens added."""
+        return by_script(texts, self.added, self._latin, self._other, "<u4")
 
-    def decode_batch(self, ids: np.ndarray, edges: np.ndarray) -> list[str]:
-        """The texts of ids between edges, special tokens included; bytes that are not UTF-8 become U+FFFD."""
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids, special tokens included; bytes that are not UTF-8 become U+FFFD."""
         size = self.token_size[ids]
         stops = np.cumsum(size)
-        raw = self.token_bytes[np.repeat(self.token_start[ids] - stops + size, size) + np.arange(stops[-1] if len(stops) else 0)].tobytes()
-        at = np.concatenate([[0], stops])[edges].tolist()
-        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
+        at = np.repeat(self.token_start[ids] - stops + size, size) + np.arange(stops[-1] if len(stops) else 0)
+        return self.token_bytes[at].tobytes().decode("utf-8", "replace")
+
+
+def by_script(texts: list[str | None], added: Iterable[str], plain: Callable, other: Callable, dtype: str) -> list[np.ndarray]:
+    """The ids of each text: by `plain` if it is in Latin-1 and holds no added token, by `other` if not."""
+
+    def is_plain(text: str) -> bool:
+        if any(a in text for a in added):
+            return False
+        if text.isascii():
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
+    mask = [bool(t) and is_plain(t) for t in texts]
+    out = in_slices([t if m else None for t, m in zip(texts, mask, strict=True)], plain, dtype)
+    if not all(m or not t for t, m in zip(texts, mask, strict=True)):
+        rest = in_slices([None if m else t for t, m in zip(texts, mask, strict=True)], other, dtype)
+        out = [a if m else b for a, b, m in zip(out, rest, mask, strict=True)]
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -397,13 +426,10 @@ def ids_column(path: str, text: str | Column, decoded: bool = False) -> Column:
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load(path)
         for column in batches:
-            ids, back = [], []
-            for a, b in slices(texts := column.to_pylist(), 1_000_000):
-                got, edges = model.encode_batch(texts[a:b])
-                at, raw = (4 * edges).tolist(), got.tobytes()
-                ids += [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
-                back += model.decode_batch(got, edges) if decoded else []
-            out = {"ids": pa.array(ids, pa.binary())} | ({"decoded": pa.array(back, pa.string())} if decoded else {})
+            got = model.encode_batch(column.to_pylist())
+            out = {"ids": pa.array([g.tobytes() for g in got], pa.binary())}
+            if decoded:
+                out["decoded"] = pa.array(map(model.decode, got), pa.string())
             yield pa.StructArray.from_arrays(list(out.values()), list(out))
 
     return encoded(text)

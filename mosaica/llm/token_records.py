@@ -27,16 +27,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaica.llm.bpe import byte_letters, slices
-from mosaica.llm.pool import Pool
+from mosaica.llm.bpe import byte_kinds, byte_letters, by_script
+from mosaica.llm.pool import Pool, Words, cut, latin
 
 HEAD, PAYLOAD, SUM = struct.Struct("<QI"), struct.Struct("<BqI"), struct.Struct("<I")
 #: Distinct parts of texts whose ids a worker keeps at most.
-MAX_CACHED = 400_000
+MAX_CACHED = 600_000
 #: Bytes of records after which a chunk ends, and chunks of a file: files have CHUNK * CHUNKS bytes and a document at most.
 CHUNK, CHUNKS = 1 << 20, 64
 
@@ -78,10 +77,10 @@ class WordEncoder:
     For files whose normaliser and pre-tokeniser never look across white space
     and whose tokens at word ends are marked; others are refused. A text's ids
     are those of its parts: the words of the pre-tokeniser where a text is
-    Latin-1 (which NFC leaves alone and which lower-cases letter by letter), the
-    runs between blanks otherwise. New words go to the library's model many at a
-    time, in the letters that it has for bytes, and marked tokens tell where each
-    ends; other new parts go through the whole tokenizer.
+    Latin-1 (which NFC leaves alone and which lower-cases letter by letter) and
+    holds no added token, the runs between blanks otherwise. New words go to the
+    library's model many at a time, in the letters that it has for bytes, and
+    marked tokens tell where each ends; new runs go through the whole tokenizer.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -104,16 +103,14 @@ class WordEncoder:
         self.letters = {b: c for c, b in byte_letters().items() if b != 32}
         self.wide = self.inner.get_vocab_size() > 65536
         self.dtype = "<u4" if self.wide else "<u2"
-        self.pool = Pool(self.dtype, MAX_CACHED)
+        self.words, self.pool = Words(self.dtype, MAX_CACHED), Pool(self.dtype, MAX_CACHED)
         mark = spec["model"]["end_of_word_suffix"]
         self.last = np.zeros(self.inner.get_vocab_size(), bool)
         self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(mark)]] = True
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.blank = re.compile(r"[ \t\n\r\x0b\x0c]+")
-        kind = {k: "".join(re.escape(chr(c)) for c in range(256) if regex.fullmatch(v, chr(c))) for k, v in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s"))}
-        written_out = f"[{kind['L']}]+|'(?:[stmd]|re|ve|ll)|[{kind['N']}]|[^{kind['S']}{kind['L']}{kind['N']}]+"
-        self.words = re.compile(written_out.encode("latin-1")).findall
-        self.lower = bytes(ord(chr(c).lower()) for c in range(256))
+        self.kinds = byte_kinds()
+        self.lower = np.array([ord(chr(c).lower()) for c in range(256)], np.uint8)
 
     def _check(self, path: str, spec: dict) -> None:
         steps = [(n["type"], n.get("pattern", {}).get("Regex"), n.get("content")) for n in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -134,26 +131,6 @@ class WordEncoder:
         if not sound:
             raise ValueError(f"{path}: not a lower-casing BPE of words with marked ends")
 
-    def parts(self, text: str) -> list[bytes | str]:
-        """Lower-cased words in Latin-1 as bytes; where a run between blanks has other characters or an added token, the run itself."""
-        special = any(a in text for a in self.added)
-        if not special:
-            try:
-                return self.words(text.encode("latin-1").translate(self.lower))
-            except UnicodeEncodeError:
-                pass
-        out: list[bytes | str] = []
-        for run in self.blank.split(text):
-            try:
-                raw = None if special and any(a in run for a in self.added) else run.encode("latin-1")
-            except UnicodeEncodeError:
-                raw = None
-            if raw is not None:
-                out += self.words(raw.translate(self.lower))
-            elif run:
-                out.append(run)
-        return out
-
     def _ask(self, model, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for at in range(0, len(texts), 20_000) for e in model.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
 
@@ -161,9 +138,8 @@ class WordEncoder:
         """Words in the letters that stand for their UTF-8 bytes, between blanks."""
         return b" ".join(words).decode("latin-1").encode().decode("latin-1").translate(self.letters)
 
-    def learn(self, fresh: list[bytes | str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of new parts in a row and their numbers."""
-        words = [p for p in fresh if isinstance(p, bytes)]
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words, lower-cased and in Latin-1, in a row, and their numbers."""
         blocks = [words[at : at + self.JOINED] for at in range(0, len(words), self.JOINED)]
         ids, size = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         for block, got in zip(blocks, self._ask(self.bare, [self._spelt(b) for b in blocks]), strict=True):
@@ -175,19 +151,28 @@ class WordEncoder:
                 one_by_one = self._ask(self.inner, [w.decode("latin-1") for w in block])
                 ids += one_by_one
                 size.append(np.fromiter(map(len, one_by_one), np.int64))
-        ids, size = np.concatenate(ids), np.concatenate(size)
-        if len(words) == len(fresh):
-            return ids, size
-        runs = iter(self._ask(self.inner, [p for p in fresh if isinstance(p, str)]))
-        done = iter(np.split(ids, np.cumsum(size)[:-1]))
-        both = [next(done if isinstance(p, bytes) else runs) for p in fresh]
-        return np.concatenate(both), np.fromiter(map(len, both), np.int64)
+        return np.concatenate(ids), np.concatenate(size)
+
+    def learn_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new runs between blanks, in a row, and their numbers."""
+        ids = self._ask(self.inner, runs)
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64)
+
+    def _latin(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw, first = latin(texts)
+        raw = self.lower[raw]
+        start, end = cut(raw, first, self.kinds, keep_blanks=False, whole_numbers=False)
+        ids, stops = self.words.gather(raw, start, end, self.learn)
+        return ids, np.concatenate([[0], stops])[np.searchsorted(start, np.append(first, len(raw)))]
+
+    def _other(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = [[r for r in self.blank.split(t) if r] for t in texts]
+        ids, stops = self.pool.gather(chain.from_iterable(split), self.learn_runs)
+        return ids, np.concatenate([[0], stops])[np.cumsum([0, *map(len, split)])]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self.parts(t) if t else [] for t in texts]
-        ids, stops = self.pool.gather(chain.from_iterable(split), self.learn)
-        edges = np.concatenate([[0], stops])[np.cumsum([0, *map(len, split)])].tolist()
-        return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        """Ids of each text; null texts have none."""
+        return by_script(texts, self.added, self._latin, self._other, self.dtype)
 
 
 @lru_cache(maxsize=2)
@@ -211,13 +196,12 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1,
         chunk, room = [], CHUNK
         for batch in batches:
             ids, texts, full = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for a, b in slices(texts, 1_000_000):
-                for doc, got in zip(ids[a:b], model.encode(texts[a:b]), strict=True):
-                    chunk.append(record(doc, got.tobytes() + end, model.wide))
-                    room -= len(chunk[-1])
-                    if room <= 0:
-                        full.append(b"\n".join(chunk))
-                        chunk, room = [], CHUNK
+            for doc, got in zip(ids, model.encode(texts), strict=True):
+                chunk.append(record(doc, got.tobytes() + end, model.wide))
+                room -= len(chunk[-1])
+                if room <= 0:
+                    full.append(b"\n".join(chunk))
+                    chunk, room = [], CHUNK
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.binary())], ["chunk"])
         if chunk:
             yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(chunk)], pa.binary())], ["chunk"])

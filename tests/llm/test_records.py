@@ -28,11 +28,11 @@ def test_encoder_on_mixed_scripts_with_a_small_pool():
     r = random.Random(5)
     letters = [chr(c) for c in range(256)] + [*"’“漢字́İΣς ", "<|endoftext|>", "'re", "</w>"] + [" "] * 40
     own = token_records.WordEncoder(vocabulary(WORD_BPE))
-    own.pool.room = 200
+    own.pool.room = own.words.room = 200
     for _ in range(6):
         texts = [None, "", *("".join(r.choices(letters, k=40)) for _ in range(300))]
         assert [g.tolist() for g in own.encode(texts)] == library(texts)
-    assert len(own.pool.place) <= 200
+    assert len(own.pool.place) <= 200 and len(own.words.hash) <= 200
 
 
 def test_other_vocabularies_are_refused(tmp_path):
