@@ -105,4 +105,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op8_minhash_dedup": minhash.ORACLE}
+    return {"op1_embedding_dedup": embed_dedup.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op8_minhash_dedup": minhash.ORACLE}
