@@ -16,14 +16,13 @@ import html
 import math
 import random
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-
-from mosaica.llm.bpe import slices
-from mosaica.llm.common import unused
+from pyspark.sql import functions as F
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -436,19 +435,15 @@ def main_text(source: str | None, model: tuple[np.ndarray, tuple]) -> str:
 
 
 def extract(pages: DataFrame, model: tuple[np.ndarray, tuple] | None = None, html_col: str = "html") -> DataFrame:
-    """`pages` without `html_col`, plus text and n_chars (code points), which replace earlier columns of these names. Null and empty pages have an empty text."""
+    """`pages` without `html_col`, plus text and n_chars (code points), which replace earlier columns of these names. Null and empty pages have an empty text. No other column passes through Python."""
     shared = pages.sparkSession.sparkContext.broadcast(model or train())
-    keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    (source,) = unused(pages, "source_html")
 
-    def run(batches):
+    @F.arrow_udf("string")
+    def extracted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = shared.value
-        for pdf in batches:
-            sources = [s if isinstance(s, str) else None for s in pdf[source]]
-            for a, b in slices(sources):
-                text = [main_text(s, weights) for s in sources[a:b]]
-                yield pdf[keep].iloc[a:b].assign(text=text, n_chars=[len(t) for t in text])
-
-    read = pages.select(*keep, pages[html_col].alias(source))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != source)
-    return read.mapInPandas(run, f"{fields}, text string, n_chars long" if fields else "text string, n_chars long")
+        for column in batches:
+            yield pa.array([main_text(s, weights) for s in column.to_pylist()], pa.string())
+
+    keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    read = pages.select(*[F.col(f"`{c}`") for c in keep], extracted(pages[html_col].cast("string")).alias("text"))
+    return read.withColumn("n_chars", F.char_length("text").cast("long"))

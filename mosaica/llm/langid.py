@@ -8,10 +8,13 @@ row of the matrix, rows are summed by text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaica.llm.bpe import slices
@@ -99,20 +102,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return langs, np.vstack([logs, np.log(prior / prior.sum())]).astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of `docs`: id, lang_pred and score, the probability of that language among those learned.
+def predict_column(spark: SparkSession, model: tuple[list[str], np.ndarray], text: str | Column) -> Column:
+    """A column of structs: lang_pred and score, the probability of that language among those learned, of each whole text.
 
     Null texts, texts without a letter, and all texts if nothing was learned
     are `und` with score 0. Ties go to the first language in order.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         langs, table = shared.value
-        for pdf in batches:
-            lang, score = [UNKNOWN] * len(pdf), np.zeros(len(pdf))
-            texts = [t if langs and isinstance(t, str) and _LETTER.search(t) else "" for t in pdf["text"]]
+        for column in batches:
+            texts = [t if langs and t and _LETTER.search(t) else "" for t in column.to_pylist()]
+            lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for a, b in slices(texts, 1_000_000):
                 own = [i for i in range(a, b) if texts[i]]
                 if own:
@@ -121,7 +124,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                     score[own] = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
                     for i, k in zip(own, best.tolist(), strict=True):
                         lang[i] = langs[k]
-            yield pd.DataFrame({"id": pdf["id"].array, "lang_pred": lang, "score": score})
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
-    read = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
-    return read.mapInPandas(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return predicted(text)
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of `docs`: id, lang_pred and score, as `predict_column` has them. Ids do not pass through Python."""
+    read = docs.select(F.col(id_col), predict_column(docs.sparkSession, model, F.col(text_col).cast("string")).alias("__got"))
+    return read.select(id_col, "__got.*")
