@@ -31,6 +31,8 @@ from mosaica.llm.pool import Pool
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Kinds of pieces in the model file.
+NORMAL, USER_DEFINED = 1, 4
 #: Words whose counts a worker keeps at most.
 MAX_CACHED = 600_000
 
@@ -63,15 +65,24 @@ def _fields(data: bytes):
         yield key >> 3, value
 
 
-def read_pieces(path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a SentencePiece model file, in order of their ids."""
+def read_pieces(path: str, kinds: tuple[int, ...] = (NORMAL,)) -> list[tuple[str, float]]:
+    """Pieces and scores of a SentencePiece model file, in order of their ids: by default those that can stand for text.
+
+    Control pieces, the unknown piece, byte pieces and unused ones are never
+    matched in a text; user-defined pieces, which follow a rule of their own, are
+    an error.
+    """
     with open(path, "rb") as f:
         data = f.read()
     out = []
     for field, value in _fields(data):
         if field == 1:
             own = dict(_fields(value))
-            out.append((own[1].decode(), struct.unpack("<f", own[2])[0] if 2 in own else 0.0))
+            kind = own.get(3, NORMAL)
+            if kind == USER_DEFINED:
+                raise ValueError(f"{path}: user-defined pieces are not supported")
+            if kind in kinds:
+                out.append((own[1].decode(), struct.unpack("<f", own[2])[0] if 2 in own else 0.0))
     return out
 
 
