@@ -1,9 +1,9 @@
 """Quality of a text: attention-based multiple-instance learning.
 
-Each text is a bag of passages. A passage is encoded from the kinds of its
-bytes and the repetition of its words; a gated attention weighs passages, and
-the weighted mean of their encodings is scored. Encoder, attention and score
-are learned together from the labels of whole documents.
+Each text is a bag of passages. A passage is encoded from its words, hashed, the
+kinds of its bytes and the repetition of its words; a gated attention weighs
+passages, and the weighted mean of their encodings is scored. Encoder, attention
+and score are learned together from the labels of whole documents.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from mosaica.llm.bpe import slices
 PASSAGE = 64
 #: Labelled documents to learn from at most, those with the least hashes of their ids.
 SAMPLE = 6_000
+#: Passages of a document to learn from at most, evenly spread over it; scores see all.
+PASSAGES = 32
 WIDTH, GATE, EPOCHS, SEED = 16, 8, 60, 7
 
 _KIND = np.zeros(256, np.int64)
@@ -34,7 +36,12 @@ _KIND[ord("0") : ord("9") + 1] = 5
 _KIND[128:] = 6
 _KIND[_MARKS] = 7 + np.arange(len(_MARKS))
 KINDS = 7 + len(_MARKS)
-FEATURES = KINDS + 5
+#: Buckets of hashed words.
+WORDS = 128
+STATISTICS = KINDS + WORDS
+#: Added to the deviation by which a bucket's share is divided; other features have 0.02.
+WORD_SLACK = 1.0
+FEATURES = STATISTICS + 5
 
 
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,15 +76,17 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(minhash._BYTE[joined] * minhash._powers(minhash._BASE, len(joined)), dtype=np.uint64)])
             word = (sums[ends] - sums[starts]) * minhash._powers(minhash._INVERSE, len(joined))[starts]
         words = np.maximum(1, np.bincount(of_word, minlength=total))
+        bucket = (minhash.mix(word) >> np.uint64(57)).astype(np.int64)  # the top seven bits: one of WORDS
+        out[:, KINDS:STATISTICS] = np.sqrt(np.bincount(of_word * WORDS + bucket, minlength=total * WORDS).reshape(total, WORDS) / words[:, None])
         same = np.concatenate([[False], (word[1:] == word[:-1]) & (of_word[1:] == of_word[:-1])])
         pair = np.unique(np.stack([of_word.astype(np.uint64), word]), axis=1)[0].astype(np.int64)
-        out[:, KINDS] = np.bincount(of_word, same, total) / words
-        out[:, KINDS + 1] = np.bincount(pair, minlength=total) / words
+        out[:, STATISTICS] = np.bincount(of_word, same, total) / words
+        out[:, STATISTICS + 1] = np.bincount(pair, minlength=total) / words
         length = ends - starts
-        out[:, KINDS + 2] = np.bincount(of_word, length, total) / words / 10
-        out[:, KINDS + 3] = np.log1p(np.bincount(of_word, minlength=total)) / 4
+        out[:, STATISTICS + 2] = np.bincount(of_word, length, total) / words / 10
+        out[:, STATISTICS + 3] = np.log1p(np.bincount(of_word, minlength=total)) / 4
         caps = (joined[starts] >= 65) & (joined[starts] <= 90)
-        out[:, KINDS + 4] = np.bincount(of_word, caps, total) / words
+        out[:, STATISTICS + 4] = np.bincount(of_word, caps, total) / words
     return out, count
 
 
@@ -97,12 +106,27 @@ def score_bags(x: np.ndarray, count: np.ndarray, p: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_bags(x, count, p)[-1].astype(np.float64), -40, 40)))
 
 
+def gradient(x: np.ndarray, count: np.ndarray, y: np.ndarray, weight: np.ndarray, p: dict) -> dict:
+    """Of the weighted sum of the bags' log losses, by every learned parameter."""
+    starts, h, t, g, a, z, logit = _bags(x, count, p)
+    r = (1 / (1 + np.exp(-logit)) - y) * weight
+    dz = np.repeat(r, count)[:, None] * p["c"]
+    da = (dz * h).sum(1)
+    de = a * (da - np.repeat(np.add.reduceat(a * da, starts), count))
+    dt, dg = de[:, None] * p["w"] * g * (1 - t**2), de[:, None] * p["w"] * t * g * (1 - g)
+    dh = (a[:, None] * dz + dt @ p["V"].T + dg @ p["U"].T) * (1 - h**2)
+    return {"W": ((x - p["mean"]) / p["scale"]).T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ r, "d": r.sum()}
+
+
 def train_bags(x: np.ndarray, count: np.ndarray, y: np.ndarray) -> dict:
     """Learn encoder, attention and score by Adam on the log loss, classes weighing the same."""
     rng = np.random.default_rng(SEED)
     d = x.shape[1]
     p = {"W": rng.normal(0, d**-0.5, (d, WIDTH)), "b": np.zeros(WIDTH), "V": rng.normal(0, 0.3, (WIDTH, GATE)), "U": rng.normal(0, 0.3, (WIDTH, GATE)), "w": rng.normal(0, 0.3, GATE), "c": rng.normal(0, 0.3, WIDTH), "d": np.zeros(())}
-    fixed = {"mean": x.mean(0), "scale": x.std(0) + 0.02}
+    slack = np.full(d, 0.02)
+    if d == FEATURES:
+        slack[KINDS:STATISTICS] = WORD_SLACK  # buckets are many: few labels must not make much of one
+    fixed = {"mean": x.mean(0), "scale": x.std(0) + slack}
     m, v, step = {k: np.zeros_like(q) for k, q in p.items()}, {k: np.zeros_like(q) for k, q in p.items()}, 0
     offsets = np.concatenate([[0], np.cumsum(count)])
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
@@ -112,14 +136,7 @@ def train_bags(x: np.ndarray, count: np.ndarray, y: np.ndarray) -> dict:
             some = order[at : at + 256]
             rows = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in some])
             n, xs = count[some], x[rows]
-            starts, h, t, g, a, z, logit = _bags(xs, n, p | fixed)
-            r = (1 / (1 + np.exp(-logit)) - y[some]) * weight[some] / len(some)
-            dz = np.repeat(r, n)[:, None] * p["c"]
-            da = (dz * h).sum(1)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, starts), n))
-            dt, dg = de[:, None] * p["w"] * g * (1 - t**2), de[:, None] * p["w"] * t * g * (1 - g)
-            dh = (a[:, None] * dz + dt @ p["V"].T + dg @ p["U"].T) * (1 - h**2)
-            grad = {"W": ((xs - fixed["mean"]) / fixed["scale"]).T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ r, "d": r.sum()}
+            grad = gradient(xs, n, y[some], weight[some] / len(some), p | fixed)
             step += 1
             for k, q in grad.items():
                 q = q + 1e-4 * p[k]
@@ -128,8 +145,8 @@ def train_bags(x: np.ndarray, count: np.ndarray, y: np.ndarray) -> dict:
     return {k: np.asarray(q, np.float32) for k, q in (p | fixed).items()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> dict | float:
-    """Learn from at most `sample` labelled rows; a constant score where labels of one kind only, or none, are there.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, most: int = PASSAGES) -> dict | float:
+    """Learn from at most `sample` labelled rows and `most` passages of each, which bounds what the driver holds; a constant score where labels of one kind only, or none, are there.
 
     Labels other than 0 and 1 and labels that contradict each other don't
     count. Without labels the constant is 1: nothing speaks against a text.
@@ -148,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for a, b in slices(texts, 1_000_000):
                 x, count = passages(texts[a:b])
                 ends = np.cumsum(count)
-                yield pd.DataFrame({"id": pdf["id"].iloc[a:b].array, "y": pdf["y"].iloc[a:b].array, "n": count, "x": [x[e - n : e].tobytes() for e, n in zip(ends, count, strict=True)]})
+                picked = [x[e - n + (np.arange(min(n, most)) * n // min(n, most))] for e, n in zip(ends.tolist(), count.tolist(), strict=True)]
+                yield pd.DataFrame({"id": pdf["id"].iloc[a:b].array, "y": pdf["y"].iloc[a:b].array, "n": np.minimum(count, most), "x": [p.tobytes() for p in picked]})
 
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(small), "id")
     kind = known.schema["id"].dataType.simpleString()
