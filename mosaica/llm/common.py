@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -18,12 +18,15 @@ ROWS_PER_FILE = 500_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Taken from spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a temporary folder is made and set for the rest of the session.
+    Taken from spark.checkpoint.dir. Only where that is unset and everything
+    runs in one process (tests) a temporary folder is made and set for the rest
+    of the session; on a cluster it is an error to leave it unset.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     current = spark.sparkContext.getCheckpointDir()
     if not found:
+        if current is None and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = current or tempfile.mkdtemp(prefix="mosaica-")
     if current is None:
         spark.sparkContext.setCheckpointDir(found)
@@ -74,10 +77,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     v has any. In a round each v gives way to the least smaller neighbour it
     has (large-star), then u and its smaller neighbours link to the least of
     them (small-star). A node may have any number of larger neighbours: they
-    are joined with one row for each v, both sides read from checkpoints, so
-    that adaptive execution can split them. Smaller neighbours are few (never
-    more than a node was given), so a window over u is safe. Self-edges and
-    null ends are ignored; nodes without edges don't occur.
+    are joined with one row for each v and dealt anew by u, so that adaptive
+    execution can split the join at such a node. Smaller neighbours are few
+    (never more than a node was given), so a window over u is safe. Self-edges
+    and null ends are ignored; nodes without edges don't occur.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     e = settle(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -91,7 +94,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         up = least.select(F.col("u").alias("v"), "m")
         if single and e.join(up, "v", "left_semi").isEmpty():
             break
-        large = e.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        large = e.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v")).repartition("u").distinct()
         small = large.withColumn("m", F.min("v").over(by_u))
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         e = settle(small.where("u <> v").distinct(), n)
