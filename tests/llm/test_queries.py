@@ -72,20 +72,58 @@ def test_op9_matches_the_articles(spark, tables, data):
     assert {r.page_id: r.text for r in queries.op9_html_extraction(spark, data).collect()} == want
 
 
-def test_op10_matches_the_library(spark, tables, data):
+def unigram_library():
+    """The tokenizers library's unigram model over the same pieces; control pieces, which never stand for text, under names that no text has."""
     from tokenizers import Tokenizer, models, normalizers
 
     from mosaica.llm.token_counts import read_pieces
 
-    lib = Tokenizer(models.Unigram(read_pieces(queries.vocabulary(queries.PIECES)), unk_id=0, byte_fallback=True))
+    path = queries.vocabulary(queries.PIECES)
+    free = {p for p, _ in read_pieces(path, (1, 6))}
+    pieces = [(p if p in free else f"\ue000{k}\ue001", s) for k, (p, s) in enumerate(read_pieces(path, (1, 2, 3, 6)))]
+    lib = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
     lib.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    return lib
+
+
+def test_op10_matches_the_library(spark, tables, data):
+    lib = unigram_library()
     want = {d: len(lib.encode(t or "", add_special_tokens=False).ids) for d, t in documents(tables)}
     assert {r.doc_id: r.n_tokens for r in queries.op10_token_counts(spark, data).collect()} == want
 
 
-def test_pipeline_stages(spark, data, tmp_path):
+def test_op10_never_matches_control_pieces():
+    from mosaica.llm.token_counts import UnigramCounter, read_pieces
+
+    lib, own = unigram_library(), UnigramCounter(read_pieces(queries.vocabulary(queries.PIECES)))
+    texts = ["<s> </s>", "a</s>b", "<unk>", "x <s><s>", "日本語 \U0001f600 é"]
+    assert own.counts(texts) == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert own.counts(["<s>"])[0] > 1
+
+
+def lower(text):
+    return "".join(c.lower() if c.isascii() else c for c in text or "")
+
+
+def plain_lines(rows):
+    """Texts without recurring lines, by a dictionary of lines."""
+    key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for i, t in rows.items():
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= 40:
+                holders.setdefault(key(line), set()).add(i)
+    gone = lambda i, line: len(h := holders.get(key(line), ())) >= 5 and max(h) != i
+    return {i: None if t is None else "\n".join(x for x in t.split("\n") if not gone(i, x)) for i, t in rows.items()}
+
+
+def plain_windows(text, size=10):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    return [tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))] if w else []
+
+
+def test_pipeline_stages(spark, tables, data, tmp_path):
     import corpus_pipeline
-    from mosaica.llm import decontaminate, line_dedup, minhash
 
     docs = first = spark.read.parquet(f"{data}/documents.parquet")
     out = {}
@@ -99,14 +137,21 @@ def test_pipeline_stages(spark, data, tmp_path):
     assert good.join(out["quality"], "doc_id", "left_anti").count() <= 0.02 * good.count()
     bad = out["quality"].join(labels.where("quality = 0"), "doc_id", "left_semi").count()
     assert bad <= 0.1 * labels.where("quality = 0").count()
-    lines = line_dedup.drop_lines(out["quality"])
-    assert {(r.doc_id, r.text) for r in out["lines"].collect()} == {(r.doc_id, r.text) for r in lines.collect()}
+    rows = {name: {r.doc_id: r.text for r in out[name].collect()} for name in ("quality", "lines", "near_duplicates", "decontamination")}
+    assert rows["lines"] == plain_lines(rows["quality"])
     assert out["lines"].where("n_chars <> length(text)").count() == 0
-    near = minhash.near_duplicates(out["lines"])
-    assert {r.doc_id for r in near.where("kept").collect()} == {r.doc_id for r in out["near_duplicates"].collect()}
-    hits = decontaminate.find_items(out["near_duplicates"], spark.read.parquet(f"{data}/benchmark.parquet"))
-    assert {r.doc_id for r in hits.where("n_hit = 0").collect()} == {r.doc_id for r in out["decontamination"].collect()}
-    assert out["encoding"].count() == out["decontamination"].count()
+    from tests.llm.test_operators import brute_near
+
+    near = brute_near(sorted(rows["lines"].items()), 5, 80)
+    assert rows["near_duplicates"] == {i: t for i, t in rows["lines"].items() if near[i][1] == i}
+    windows = {w for (item,) in tables.execute("select text from benchmark").fetchall() for w in plain_windows(item)}
+    clean = {i for i, t in rows["near_duplicates"].items() if windows.isdisjoint(w for n in {len(w) for w in windows} for w in plain_windows(t, n))}
+    assert rows["decontamination"] == {i: t for i, t in rows["near_duplicates"].items() if i in clean}
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(queries.vocabulary(queries.BYTE_BPE))
+    want = {i: np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for i, t in rows["decontamination"].items()}
+    assert {r.doc_id: bytes(r.ids) for r in out["encoding"].collect()} == want
     back = out["encoding"].join(out["decontamination"], "doc_id").where(F.col("decoded_sha256") != F.sha2(F.col("text").cast("binary"), 256))
     assert back.count() == 0
 
