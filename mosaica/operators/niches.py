@@ -6,10 +6,14 @@ niche 0 is Background.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaica.functions.scalars import l2_normalised, niche_name
+from mosaica.functions.scalars import niche_name
 from mosaica.operators import stats
 from mosaica.operators.graph import with_ends
 
@@ -78,21 +82,26 @@ def niche_table(assigned: DataFrame, present: float = 0.01, enriched: float = 1.
 def niche_contacts(assigned: DataFrame, edges: DataFrame, min_contacts: int = 100, label: str = "cell_type") -> DataFrame:
     """(niche, ta, tb, n_contacts, value), ta <= tb: log2 of a pair's share of contacts in the niche over that in the tissue.
 
-    Niche contacts have both ends in it; the tissue has all edges, Background
-    and mixed ones too. Null below `min_contacts` in the niche in all, or
-    where either share is 0. n_contacts counts edges.
+    Every niche but Background has a row for every pair of types. Niche
+    contacts have both ends in it; the tissue has all edges, Background and
+    mixed ones too. n_contacts counts edges; value is null where it is below
+    `min_contacts` or 0, or where the tissue has no such contact.
     """
+    types = assigned.select(F.col(label).alias("t")).where("t is not null").distinct()
+    pairs = types.select(F.col("t").alias("ta")).join(F.broadcast(types.select(F.col("t").alias("tb"))), F.col("ta") <= F.col("tb"))
+    every = assigned.where("niche <> 0").select("niche").distinct().join(F.broadcast(pairs))
     e = with_ends(edges, assigned, label, "niche")
     two = e.select("a_niche", "b_niche", F.explode(F.array(F.struct(F.col(f"a_{label}").alias("ta"), F.col(f"b_{label}").alias("tb")), F.struct(F.col(f"b_{label}").alias("ta"), F.col(f"a_{label}").alias("tb")))).alias("t")).select("a_niche", "b_niche", "t.*")
-    all_n = two.groupBy("ta", "tb").agg(F.count(F.lit(1)).alias("n"))
-    total = all_n.agg(F.sum("n").alias("total"))
-    tissue = all_n.crossJoin(F.broadcast(total)).select("ta", "tb", (F.col("n") / F.col("total")).alias("tissue"))
-    own = two.where("a_niche = b_niche and a_niche <> 0").groupBy(F.col("a_niche").alias("niche"), "ta", "tb").agg(F.count(F.lit(1)).alias("n"))
-    sizes = own.groupBy("niche").agg((F.sum("n") / 2).alias("edges"), F.sum("n").alias("ends"))
-    grid = sizes.join(F.broadcast(tissue.where("ta <= tb"))).join(own, ["niche", "ta", "tb"], "left").na.fill(0, ["n"])
-    value = F.log2(F.col("n") / F.col("ends") / F.col("tissue"))
-    edge_n = F.when(F.col("ta") == F.col("tb"), F.col("n") / 2).otherwise(F.col("n"))
-    return grid.select("niche", "ta", "tb", edge_n.cast("long").alias("n_contacts"), F.when((F.col("edges") >= min_contacts) & (F.col("n") > 0), value).alias("value"))
+    counted = two.groupBy("a_niche", "b_niche", "ta", "tb").agg(F.count(F.lit(1)).alias("n"))
+    tissue = counted.groupBy("ta", "tb").agg(F.sum("n").alias("n_tissue"))
+    total = counted.agg(F.sum("n").alias("total"))
+    own = counted.where("a_niche = b_niche and a_niche <> 0").select(F.col("a_niche").alias("niche"), "ta", "tb", "n")
+    ends = own.groupBy("niche").agg(F.sum("n").alias("ends"))
+    grid = every.join(F.broadcast(tissue), ["ta", "tb"], "left").join(own, ["niche", "ta", "tb"], "left").join(ends, "niche", "left").crossJoin(F.broadcast(total)).na.fill(0, ["n", "n_tissue"])
+    edge_n = F.when(F.col("ta") == F.col("tb"), F.col("n") / 2).otherwise(F.col("n")).cast("long")
+    enough = (edge_n >= min_contacts) & (F.col("n") > 0) & (F.col("n_tissue") > 0)
+    value = F.when(enough, F.log2(F.col("n") / F.col("ends") / (F.col("n_tissue") / F.col("total"))))
+    return grid.select("niche", "ta", "tb", edge_n.alias("n_contacts"), value.alias("value"))
 
 
 def niche_units(assigned: DataFrame, edges: DataFrame, min_cells: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -119,30 +128,57 @@ def niche_enrichment(assigned: DataFrame, edges: DataFrame, min_cells: int = 20)
     return out.where("n_units > 0")
 
 
-def knn_vote(points: DataFrame, sample: DataFrame, k: int, space: str = "space", cosine: bool = True) -> DataFrame:
-    """(cell_id, cluster): the most frequent cluster among the k nearest sample points; noise votes too.
+def vote_column(sample: DataFrame, k: int, vector: Column, cosine: bool = True, space: str = "space") -> Column:
+    """A column with the most frequent cluster among the k sample points nearest to each vector; noise votes too.
 
     Distances are squared Euclidean, of unit vectors with `cosine`, rounded to
     nine digits; ties go to the smaller id, then to the smaller cluster. The
-    sample is bounded by the clustering's sample size, and points meet it in
-    blocks of rows, keeping k for each.
+    sample (cell_id, cluster, space) is broadcast: its bound is the
+    clustering's sample size. Batches meet it in blocks of a matrix product,
+    which picks the k nearest and what comes close to them; those distances
+    are taken again from differences.
     """
-    prep = lambda d: d.withColumn("__v", l2_normalised(space) if cosine else F.transform(space, lambda x: x.cast("double")))
-    a = prep(points).select("cell_id", "__v")
-    b = F.broadcast(prep(sample).select(F.col("cell_id").alias("s_id"), "cluster", F.col("__v").alias("__w")))
-    d = F.aggregate(F.zip_with("__v", "__w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    near = a.crossJoin(b).select("cell_id", "s_id", "cluster", F.round(d, 9).alias("d"))
-    w = Window.partitionBy("cell_id").orderBy("d", "s_id")
-    votes = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).groupBy("cell_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    best = Window.partitionBy("cell_id").orderBy(F.desc("n"), "cluster")
-    return votes.withColumn("r", F.row_number().over(best)).where("r = 1").select("cell_id", "cluster")
+    rows = sample.select("cell_id", F.col("cluster").cast("int").alias("cluster"), F.transform(space, lambda x: x.cast("double")).alias("v")).orderBy("cell_id").toPandas()
+    shared = sample.sparkSession.sparkContext.broadcast((np.array(rows["v"].tolist(), float).reshape(len(rows), -1), rows["cluster"].to_numpy()))
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        n = np.sqrt((x * x).sum(1, keepdims=True)) if cosine else np.ones((len(x), 1))
+        return x / np.where(n > 0, n, 1)
+
+    @F.arrow_udf("int")
+    def vote(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        points, cluster = shared.value
+        points = scaled(points)
+        sq, few = (points**2).sum(1), min(k, len(points))
+        for column in batches:
+            out = []
+            x = scaled(column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1))
+            step = max(1, 4_000_000 // max(1, len(points)))
+            for at in range(0, len(x), step):
+                own = x[at : at + step]
+                d = (own**2).sum(1)[:, None] + sq - 2 * own @ points.T
+                bound = np.partition(d, few - 1, axis=1)[:, few - 1] + 1e-8 * (1 + sq.max())
+                for row, near in zip(own, d <= bound[:, None], strict=True):
+                    some = np.flatnonzero(near)
+                    gap = np.round(((points[some] - row) ** 2).sum(1), 9)
+                    best = cluster[some[np.lexsort((some, gap))[:few]]]
+                    names, n = np.unique(best, return_counts=True)
+                    out.append(names[n.argmax()])
+            yield pa.array(out, pa.int32())
+
+    return vote(vector)
+
+
+def knn_vote(points: DataFrame, sample: DataFrame, k: int, space: str = "space", cosine: bool = True) -> DataFrame:
+    """(cell_id, cluster) of all points, as `vote_column` has it. An empty sample votes for nothing: null."""
+    if sample.isEmpty():
+        return points.select("cell_id", F.lit(None).cast("int").alias("cluster"))
+    return points.select("cell_id", vote_column(sample, k, F.transform(space, lambda x: x.cast("double")), cosine, space).alias("cluster"))
 
 
 def render_units(assigned: DataFrame, n: int) -> DataFrame:
     """Units to show: half of `n` (rounded up) with the highest mean margin, the rest with the lowest."""
     m = assigned.groupBy("unit_id").agg(F.round(F.avg("margin"), 12).alias("m"))
-    hi = F.row_number().over(Window.orderBy(F.desc("m"), "unit_id"))
-    lo = F.row_number().over(Window.orderBy("m", "unit_id"))
-    return m.withColumn("hi", hi).withColumn("lo", lo).where((F.col("hi") <= -(-n // 2)) | (F.col("lo") <= n // 2)).select("unit_id")
-
-
+    hi = m.orderBy(F.desc("m"), "unit_id").limit(-(-n // 2))
+    lo = m.orderBy("m", "unit_id").limit(n // 2)
+    return hi.unionByName(lo).select("unit_id").distinct()

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaica.operators.cluster import hash_sample, kmeans_assign, kmeans_fit
 from mosaica.operators.testing import bootstrap_mean
 
 
@@ -23,45 +29,72 @@ def hellinger_pairs(compositions: DataFrame, key: str = "niche", kind: str = "ce
     return out.select("a", "b", F.sqrt(F.greatest(0.5 * (F.col("sa") + F.col("sb") - 2 * F.coalesce("bc", F.lit(0.0))), F.lit(0.0))).alias("distance"))
 
 
-def constrained_linkage(names: list, models: list, distance: dict[tuple, float], threshold: float) -> list[int]:
-    """Group numbers by greedy average linkage: the closest pair of groups below the threshold, without a model in common, merges; of equals the first.
+def linkage(names: list, models: list, distance: dict[tuple, float]) -> list[tuple[float, int, int]]:
+    """Merges (mean distance, kept, absorbed) of average linkage among groups without a model in common, closest first.
 
-    Runs on the driver: items are the niches of a few models.
+    A group goes by its first item; of equal means the pair that comes first
+    in order merges. Pairs wait in a queue; the sum of distances between two
+    groups is the sum of those of their parts, and entries of groups that have
+    changed since are passed over. Means never fall from one merge to the
+    next, so that a threshold cuts the list. Runs on the driver: items are the
+    niches of a few models.
     """
-    groups = [[i] for i in range(len(names))]
-    d = lambda i, j: distance[(names[i], names[j])] if (names[i], names[j]) in distance else distance[(names[j], names[i])]
-    while True:
-        best = None
-        for x in range(len(groups)):
-            for y in range(x + 1, len(groups)):
-                if {models[i] for i in groups[x]} & {models[j] for j in groups[y]}:
-                    continue
-                m = sum(d(i, j) for i in groups[x] for j in groups[y]) / (len(groups[x]) * len(groups[y]))
-                if m < threshold and (best is None or m < best[0]):
-                    best = (m, x, y)
-        if best is None:
+    size, owners, version = dict.fromkeys(range(len(names)), 1), {i: {m} for i, m in enumerate(models)}, dict.fromkeys(range(len(names)), 0)
+    total: dict[frozenset, float] = {}
+    for i, a in enumerate(names):
+        for j in range(i):
+            total[frozenset((i, j))] = distance[(names[j], a)] if (names[j], a) in distance else distance[(a, names[j])]
+    queue: list[tuple] = []
+
+    def offer(i: int, j: int) -> None:
+        i, j = min(i, j), max(i, j)
+        if owners[i].isdisjoint(owners[j]):
+            heapq.heappush(queue, (round(total[frozenset((i, j))] / (size[i] * size[j]), 12), i, j, version[i], version[j]))
+
+    for pair in total:
+        offer(*pair)
+    steps = []
+    while queue:
+        mean, i, j, vi, vj = heapq.heappop(queue)
+        if version.get(i) != vi or version.get(j) != vj:
+            continue
+        steps.append((mean, i, j))
+        size[i] += size.pop(j)
+        owners[i] |= owners.pop(j)
+        del version[j]
+        version[i] += 1
+        for k in size:
+            if k != i:
+                total[frozenset((i, k))] += total[frozenset((j, k))]
+                offer(i, k)
+    return steps
+
+
+def cut_linkage(n: int, steps: list[tuple[float, int, int]], threshold: float) -> list[int]:
+    """Group numbers of n items after the merges below the threshold: larger groups first, equals by their first item."""
+    members = {i: [i] for i in range(n)}
+    for mean, kept, gone in steps:
+        if mean >= threshold:
             break
-        _, x, y = best
-        groups[x] += groups.pop(y)
-    order = sorted(range(len(groups)), key=lambda g: (-len(groups[g]), min(groups[g])))
-    out = [0] * len(names)
-    for number, g in enumerate(order, 1):
-        for i in groups[g]:
+        members[kept] += members.pop(gone)
+    out = [0] * n
+    for number, first in enumerate(sorted(members, key=lambda i: (-len(members[i]), i)), 1):
+        for i in members[first]:
             out[i] = number
     return out
 
 
 def match_niches(names: list, models: list, distance: dict[tuple, float], thresholds: list[float], min_models: int = 2) -> tuple[list[int], float, list[tuple[float, int, int]]]:
-    """(group of each niche, threshold, scan): the first threshold with most groups found in `min_models` models, then fewest groups."""
-    scan, best = [], None
-    for t in thresholds:
-        g = constrained_linkage(names, models, distance, t)
-        by = {k: {m for m, x in zip(models, g, strict=True) if x == k} for k in set(g)}
-        replicated = sum(len(m) >= min_models for m in by.values())
-        scan.append((t, replicated, len(by)))
-        if best is None or (replicated, -len(by)) > best[0]:
-            best = ((replicated, -len(by)), t, g)
-    return best[2], best[1], scan
+    """(group of each niche, threshold, scan): the first threshold with most groups found in `min_models` models, then fewest groups.
+
+    All thresholds cut one list of merges.
+    """
+    steps = linkage(names, models, distance)
+    cuts = [cut_linkage(len(names), steps, t) for t in thresholds]
+    reach = [Counter(g for g, _ in {(g, m) for g, m in zip(cut, models, strict=True)}) for cut in cuts]
+    scan = [(t, sum(n >= min_models for n in r.values()), len(r)) for t, r in zip(thresholds, reach, strict=True)]
+    best = max(range(len(scan)), key=lambda k: (scan[k][1], -scan[k][2]))
+    return cuts[best], thresholds[best], scan
 
 
 def metacluster_table(members: DataFrame, compositions: DataFrame, min_models: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -141,3 +174,21 @@ def basis_margins(groups: DataFrame, n_boot: int = 2000, seed: int = 0) -> DataF
     """(model, grp, mean, low, high, n_clusters) of units' mean margins in each group of a shared basis, resampled by patient."""
     per_unit = groups.groupBy("model", "grp", "unit_id", "patient_id").agg(F.avg("margin").alias("value"))
     return bootstrap_mean(per_unit, "model", "grp", n_boot=n_boot, seed=seed)
+
+
+def shared_basis(cells: DataFrame, k: int = 20, sample_size: int = 300_000, seed: int = 0, n_boot: int = 2000, space: str = "space") -> tuple[DataFrame, DataFrame]:
+    """(cells with grp, margins): groups G1 to Gk that k-means finds in the vectors of all models, and the models' margins in them.
+
+    `cells`: (model, unit_id, patient_id, cell_id, margin) with vectors of one
+    input, which are standardised with the sample's means and deviations (a
+    component without any varies by 1). The fit sees a hash sample; all cells
+    go to the nearest centre.
+    """
+    vector = array_to_vector(F.transform(space, lambda x: x.cast("double")))
+    sample = hash_sample(cells.select("cell_id", space), sample_size, seed).select(vector.alias("raw"))
+    scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(sample)
+    flat = lambda d: d.withColumn(space, vector_to_array("scaled")).drop("raw", "scaled")
+    centres = kmeans_fit(flat(scaler.transform(sample)), k, seed, space, cosine=False)
+    grouped = kmeans_assign(flat(scaler.transform(cells.withColumn("raw", vector))), centres, space, cosine=False)
+    out = grouped.withColumn("grp", F.concat(F.lit("G"), (F.col("cluster") + 1).cast("string"))).drop("cluster", space)
+    return out, basis_margins(out, n_boot, seed)

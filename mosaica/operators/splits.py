@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,12 @@ def random_split(groups: DataFrame, ratios: tuple[float, ...] = (0.7, 0.15, 0.15
     """(group_id, split): groups in an order that seed and id settle, dealt per stratum by largest remainder.
 
     Each part gets the floor of its share; what is left goes to the largest
-    fractions, the first of equals. A part with a positive ratio then gets at
-    least one group over all if there are enough, from the largest part.
+    fractions, the first of equals. Then, in order, a part with a positive
+    ratio and no group gets one from the largest part of the stratum (the first
+    of equals), if that has more than one.
     """
+    if len(ratios) != len(names) or min(ratios) < 0 or sum(ratios) <= 0:
+        raise ValueError("one ratio for each split, none below 0 and not all 0")
     g = groups.select("group_id", (F.col(stratum) if stratum else F.lit(0)).alias("s")).distinct()
     w = Window.partitionBy("s").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("group_id").cast("string"))), "group_id")
     g = g.withColumn("k", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("s")))
@@ -25,10 +28,20 @@ def random_split(groups: DataFrame, ratios: tuple[float, ...] = (0.7, 0.15, 0.15
     frac = F.array(*[F.struct((-F.round(s - f, 9)).alias("f"), F.lit(i).alias("i")) for i, (s, f) in enumerate(zip(share, floors, strict=True))])
     order = F.transform(F.sort_array(frac), lambda x: x["i"])
     sizes = [f + (F.array_position(order, F.lit(i)) <= rest).cast("long") for i, f in enumerate(floors)]
+    g = g.withColumn("sizes", F.array(*sizes))
+
+    def moved_to(i: int) -> Column:
+        largest = F.array_position("sizes", F.array_max("sizes")) - 1
+        return F.transform("sizes", lambda x, k: x + (k == i).cast("long") - (k == largest).cast("long"))
+
+    for i, ratio in enumerate(ratios):
+        if ratio > 0:
+            moved = moved_to(i)
+            g = g.withColumn("sizes", F.when((F.col("sizes")[i] == 0) & (F.array_max("sizes") > 1), moved).otherwise(F.col("sizes")))
     out, bound = F.lit(names[-1]), F.lit(0)
     picks = []
-    for name, size in zip(names, sizes, strict=True):
-        bound = bound + size
+    for i, name in enumerate(names):
+        bound = bound + F.col("sizes")[i]
         picks.append((name, bound))
     for name, b in reversed(picks):
         out = F.when(F.col("k") <= b, F.lit(name)).otherwise(out)
@@ -36,8 +49,8 @@ def random_split(groups: DataFrame, ratios: tuple[float, ...] = (0.7, 0.15, 0.15
 
 
 def folds_table(folds: DataFrame) -> DataFrame:
-    """(fold, id) from a column `folds` of arrays of arrays."""
-    return folds.select(F.posexplode("folds").alias("fold", "ids")).select("fold", F.explode("ids").alias("id"))
+    """(fold, id) from a column `folds` of arrays of arrays; an empty fold has one row without an id."""
+    return folds.select(F.posexplode("folds").alias("fold", "ids")).select("fold", F.explode_outer("ids").alias("id"))
 
 
 def overlapping_ids(folds: DataFrame) -> DataFrame:
@@ -48,15 +61,49 @@ def overlapping_ids(folds: DataFrame) -> DataFrame:
 def check_folds(folds: DataFrame, units: DataFrame) -> DataFrame:
     """(fold, n_units, n_classes) after checks: an empty fold, or a unit or group in two folds, is an error.
 
-    `units`: (unit_id, group_id, label). One class in a fold is for the caller
-    to warn of.
+    `units`: (unit_id, group_id, label); an id that is none of them is an error
+    too. One class in a fold is for the caller to warn of.
     """
-    if not overlapping_ids(folds).isEmpty():
+    if not overlapping_ids(folds.where("id is not null")).isEmpty():
         raise ValueError("a unit is in two folds")
     joined = folds.join(units, folds["id"] == units["unit_id"], "left")
+    if not joined.where("id is not null and unit_id is null").isEmpty():
+        raise ValueError("a fold has an id that is no unit")
     if not joined.groupBy("group_id").agg(F.count_distinct("fold").alias("n")).where("n > 1 and group_id is not null").isEmpty():
         raise ValueError("a group is in two folds")
-    return joined.groupBy("fold").agg(F.count("unit_id").alias("n_units"), F.count_distinct("label").alias("n_classes"))
+    out = joined.groupBy("fold").agg(F.count("unit_id").alias("n_units"), F.count_distinct("label").alias("n_classes"))
+    if not out.where("n_units = 0").isEmpty():
+        raise ValueError("a fold has no unit")
+    return out
+
+
+def explicit_split(units: DataFrame, train: list[str], val: list[str], test: list[str] | None = None) -> DataFrame:
+    """(unit_id, split) from lists of unit or group ids; a unit in two lists is an error, test may be left out.
+
+    `units`: (unit_id, group_id). An id that names a group stands for all its
+    units; units in no list have no row, and an id that is neither is an error.
+    """
+    spark = units.sparkSession
+    rows = [(str(i), name) for name, ids in (("train", train), ("val", val), ("test", test or [])) for i in ids]
+    listed = spark.createDataFrame(rows, "id string, split string").distinct()
+    by_unit = units.join(listed, units["unit_id"].cast("string") == listed["id"])
+    by_group = units.join(listed, units["group_id"].cast("string") == listed["id"])
+    found = by_unit.unionByName(by_group)
+    if not listed.join(found.select("id"), "id", "left_anti").isEmpty():
+        raise ValueError("a split lists an id that is neither unit nor group")
+    out = found.groupBy("unit_id").agg(F.min("split").alias("split"), F.count_distinct("split").alias("n"))
+    if not out.where("n > 1").isEmpty():
+        raise ValueError("a unit is in two splits")
+    return out.drop("n")
+
+
+def unit_table(units: DataFrame, split: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """`units` with split (null where it has none) and, with `roots` (unit_id, cell_id), n_roots."""
+    out = units.join(split.select("unit_id", "split"), "unit_id", "left")
+    if roots is None:
+        return out
+    n = roots.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_roots"))
+    return out.join(n, "unit_id", "left").withColumn("n_roots", F.coalesce("n_roots", F.lit(0).cast("long")))
 
 
 def strata(units: DataFrame, most: int = 10) -> DataFrame:

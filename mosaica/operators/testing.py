@@ -55,13 +55,13 @@ def _exact_tail(n1: int, n2: int) -> tuple[float, ...]:
     return tuple(reversed(out))
 
 
-def group_tests(values: DataFrame, groups: DataFrame, metric: str = "metric", patient: str = "patient_id", value: str = "value", min_per_group: int = 10, exact: bool = False) -> DataFrame:
+def group_tests(values: DataFrame, groups: DataFrame, metric: str = "metric", patient: str = "patient_id", value: str = "value", min_per_group: int = 10, exact: bool = True) -> DataFrame:
     """One row per metric: n and mean of positives and others, difference, AUROC, two-sided p and q, ordered by p.
 
     The rank test runs where both groups have `min_per_group` values. p is
-    the normal approximation with correction for ties and continuity; with
-    `exact`, small samples (up to 8 in the smaller group) without ties have
-    the exact one. Patients without a group count as others. q is over
+    exact where the smaller group has up to 8 values and none are tied, and the
+    normal approximation with correction for ties and continuity elsewhere, or
+    everywhere without `exact`. Patients without a group count as others. q is over
     all metrics tested.
     """
     v = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).join(groups.select(patient, "positive"), patient, "left")
@@ -88,9 +88,9 @@ def group_tests(values: DataFrame, groups: DataFrame, metric: str = "metric", pa
         @F.pandas_udf("double")
         def exact_p(u: pd.Series, a: pd.Series, b: pd.Series, ties: pd.Series, p: pd.Series) -> pd.Series:
             def one(u, a, b, ties, p):
-                if pd.isna(p) or ties or min(a, b) > 8 or a * b > 4000:
+                if pd.isna(p) or ties or min(a, b) > 8:
                     return p
-                return min(1.0, 2 * _exact_tail(int(a), int(b))[int(max(u, a * b - u))])
+                return min(1.0, 2 * _exact_tail(int(min(a, b)), int(max(a, b)))[int(max(u, a * b - u))])
 
             return pd.Series([one(*x) for x in zip(u, a, b, ties, p, strict=True)])
 

@@ -116,7 +116,7 @@ def test_cox_finds_a_planted_hazard(spark):
     r = np.random.default_rng(3)
     z = r.normal(size=300)
     t = r.exponential(1 / np.exp(0.8 * z))
-    b, se = survival._cox_fit(z, t, np.ones(300))
+    b, se = survival.cox_fit(z, t, np.ones(300))
     assert abs(b - 0.8) < 3 * se
     d = spark.createDataFrame([("n", float(a), float(c), 1) for a, c in zip(z, t, strict=True)], "niche string, z double, time double, event int")
     assert survival.cox_univariate(d, "niche").first().beta == pytest.approx(b)
@@ -145,8 +145,86 @@ def test_density_clusters_find_blobs_and_noise():
 
 def test_linkage_keeps_models_apart():
     d = {("a", "b"): 0.01, ("a", "c"): 0.1, ("b", "c"): 0.2}
-    assert replicate.constrained_linkage(["a", "b", "c"], ["m1", "m1", "m2"], d, 0.3) == [1, 2, 1]
-    assert replicate.constrained_linkage(["a", "b", "c"], ["m1", "m1", "m2"], d, 0.1) == [1, 2, 3]
+    steps = replicate.linkage(["a", "b", "c"], ["m1", "m1", "m2"], d)
+    assert steps == [(0.1, 0, 2)]
+    assert replicate.cut_linkage(3, steps, 0.3) == [1, 2, 1]
+    assert replicate.cut_linkage(3, steps, 0.1) == [1, 2, 3]
+
+
+def test_linkage_is_greedy_by_mean_distances():
+    """Against a plain search for the closest allowed pair of groups, means taken from the items each time."""
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        n = 9
+        names, models = [f"n{i}" for i in range(n)], [f"m{i}" for i in r.integers(0, 4, n)]
+        d = {(a, b): float(round(r.random(), 2)) for i, a in enumerate(names) for b in names[i + 1 :]}
+        steps = replicate.linkage(names, models, d)
+        groups = [{i} for i in range(n)]
+        for mean, kept, gone in steps:
+            def cost(a, b):
+                if {models[i] for i in a} & {models[i] for i in b}:
+                    return math.inf
+                return round(sum(d[min(names[i], names[j]), max(names[i], names[j])] for i in a for j in b) / len(a) / len(b), 12)
+
+            groups.sort(key=min)
+            least, a, b = min((cost(a, b), min(a), min(b)) for k, a in enumerate(groups) for b in groups[k + 1 :])
+            assert (mean, kept, gone) == (pytest.approx(least, abs=1e-9), a, b)
+            first, second = next(g for g in groups if min(g) == a), next(g for g in groups if min(g) == b)
+            groups.remove(second)
+            first |= second
+        groups.sort(key=min)
+        assert all({models[i] for i in a} & {models[i] for i in b} for k, a in enumerate(groups) for b in groups[k + 1 :])
+        assert [m for m, _, _ in steps] == sorted(m for m, _, _ in steps)
+        group, threshold, scan = replicate.match_niches(names, models, d, [0.2, 0.4, 0.6])
+        assert [(t, len(set(replicate.cut_linkage(n, steps, t)))) for t in (0.2, 0.4, 0.6)] == [(t, k) for t, _, k in scan]
+        assert group == replicate.cut_linkage(n, steps, threshold)
+
+
+def test_cox_fit_with_ties_and_without_a_maximum():
+    r = np.random.default_rng(0)
+    z, t, e = r.normal(size=60), r.integers(1, 12, 60).astype(float), r.integers(0, 2, 60).astype(float)
+
+    def loglik(b):
+        return sum(b * z[i] - math.log(sum(math.exp(b * z[j]) for j in range(60) if t[j] >= t[i])) for i in range(60) if e[i])
+
+    b, se = survival.cox_fit(z, t, e)
+    assert loglik(b) >= max(loglik(b - 1e-3), loglik(b + 1e-3))
+    assert se == pytest.approx(1 / math.sqrt((2 * loglik(b) - loglik(b - 1e-3) - loglik(b + 1e-3)) / 1e-6), rel=1e-3)
+    apart = np.array([0.0, 1.0, 2.0, 3.0])
+    assert math.isnan(survival.cox_fit(apart, 4 - apart, np.ones(4))[0])
+    assert math.isnan(survival.cox_fit(np.ones(5), np.arange(5.0), np.ones(5))[0])
+
+
+def test_exact_p_is_the_default_for_small_samples(spark):
+    rows = [("m", f"p{i}", float(v), i < 3) for i, v in enumerate([1, 2, 3, 4, 5, 6, 7, 8])]
+    d = spark.createDataFrame(rows, "metric string, patient_id string, value double, positive boolean")
+    got = testing.group_tests(d.drop("positive"), d.select("patient_id", "positive"), min_per_group=3).first()
+    assert got.p == pytest.approx(2 / 56) and got.auroc == 0
+    tied = d.withColumn("value", d["value"] % 4)
+    plain = testing.group_tests(tied.drop("positive"), d.select("patient_id", "positive"), min_per_group=3).first().p
+    assert plain == testing.group_tests(tied.drop("positive"), d.select("patient_id", "positive"), min_per_group=3, exact=False).first().p
+
+
+def test_contacts_are_judged_pair_by_pair(spark):
+    # nine cells in a line, all of one niche: seven contacts of two types and one of another
+    kinds = "ababababc"
+    a = spark.createDataFrame([("u", i, 1, k) for i, k in enumerate(kinds)], "unit_id string, cell_id long, niche int, cell_type string")
+    e = spark.createDataFrame([("u", i, i + 1) for i in range(8)], "unit_id string, src long, dst long")
+    got = {(r.ta, r.tb): (r.n_contacts, r.value) for r in niches.niche_contacts(a, e, 5).collect()}
+    assert got[("a", "b")] == (7, pytest.approx(0.0)) and got[("b", "c")] == (1, None) and got[("c", "c")] == (0, None) and len(got) == 6
+    assert {r.value for r in niches.niche_contacts(a, e, 0).where("n_contacts = 0").collect()} == {None}
+
+
+def test_shared_basis_groups_cells_of_all_models(spark):
+    r = np.random.default_rng(1)
+    rows = [(f"m{i % 2}", f"u{i % 6}", f"p{i % 3}", i, float(i % 4), [10.0 * (i % 4) + r.normal(0, 0.1), 5000.0 * (i % 4 // 2), 7.0]) for i in range(200)]
+    d = spark.createDataFrame(rows, "model string, unit_id string, patient_id string, cell_id long, margin double, space array<double>")
+    cells, margins = replicate.shared_basis(d, k=4, n_boot=50)
+    by = {}
+    for x in cells.collect():
+        by.setdefault(x.grp, set()).add(int(x.margin))
+    assert sorted(by) == ["G1", "G2", "G3", "G4"] and all(len(v) == 1 for v in by.values())
+    assert {(x.model, x.grp) for x in margins.collect()} == {(f"m{k % 2}", g) for g, v in by.items() for k in v}
 
 
 def test_numbers_follow_margins_and_noise_is_background(spark):
@@ -165,6 +243,19 @@ def test_splits_and_folds(spark):
     g = spark.createDataFrame([(f"g{i}", i % 2) for i in range(10)], "group_id string, s int")
     n = {r.split: r["count"] for r in splits.random_split(g, (0.6, 0.2, 0.2), 0, "s").groupBy("split").count().collect()}
     assert n == {"train": 6, "val": 2, "test": 2}
+    three = spark.createDataFrame([("a",), ("b",), ("c",)], "group_id string")
+    assert sorted(r.split for r in splits.random_split(three, (0.7, 0.15, 0.15)).collect()) == ["test", "train", "val"]
+    units = spark.createDataFrame([("a", "g1", 0), ("b", "g2", 1), ("c", "g2", 1)], "unit_id string, group_id string, label int")
+    empty = splits.folds_table(spark.createDataFrame([([["a"], []],)], "folds array<array<string>>"))
+    with pytest.raises(ValueError, match="has no unit"):
+        splits.check_folds(empty, units)
+    with pytest.raises(ValueError, match="is no unit"):
+        splits.check_folds(spark.createDataFrame([(0, "a"), (1, "z")], "fold int, id string"), units)
+    got = {r.unit_id: r.split for r in splits.unit_table(units, splits.explicit_split(units, ["a"], ["g2"])).collect()}
+    assert got == {"a": "train", "b": "val", "c": "val"}
+    for bad in ((["a"], ["zz"]), (["b"], ["g2"])):
+        with pytest.raises(ValueError, match="neither|two splits"):
+            splits.explicit_split(units, *bad)
     two = spark.createDataFrame([(0, "a"), (0, "b"), (1, "b")], "fold int, id string")
     with pytest.raises(ValueError, match="two folds"):
         splits.check_folds(two, spark.createDataFrame([("a", "a", 1)], "unit_id string, group_id string, label int"))
