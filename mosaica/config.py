@@ -108,15 +108,22 @@ class EgoRadiusConfig(Closed):
 class SamplerConfig(Closed):
     depth: int = 4
     num_neighbors: int = -1
-    roots_per_unit: int = 256
+    roots_per_unit: int | None = 256
     batch_size: int = 64
     merge_units: bool = False
-    root_weighting: str = "uniform"
+    root_weighting: str | None = None
+    interior_roots: InteriorConfig = InteriorConfig()
+    ego_radius: EgoRadiusConfig = EgoRadiusConfig()
 
     def __post_init__(self) -> None:
-        if self.depth < 1 or self.roots_per_unit < 1:
-            raise ValueError("depth and roots_per_unit must be at least 1")
-        _one_of("root_weighting", self.root_weighting, ("uniform", "inverse_frequency"))
+        for name, kind in (("interior_roots", InteriorConfig), ("ego_radius", EgoRadiusConfig)):
+            if not isinstance(getattr(self, name), kind):
+                object.__setattr__(self, name, kind.from_dict(getattr(self, name)))
+        if self.depth < 1:
+            raise ValueError("depth must be at least 1")
+        if self.roots_per_unit is not None and self.roots_per_unit < 1:
+            raise ValueError("roots_per_unit must be positive or absent")
+        _one_of("root_weighting", self.root_weighting, (None, "inverse", "sqrt_inverse"))
 
 
 @dataclass(frozen=True)
@@ -204,3 +211,80 @@ class InputSpec(Closed):
     def check_matches(self, other: InputSpec, what: str) -> None:
         if wrong := [f.name for f in fields(self) if getattr(self, f.name) != getattr(other, f.name)]:
             raise ValueError(f"{what} differs in {wrong}")
+
+
+@dataclass(frozen=True)
+class EncoderConfig(Closed):
+    hidden_dim: int = 256
+    out_dim: int = 256
+    num_layers: int = 4
+    dropout: float = 0.0
+    norm: str = "layernorm"
+    jk: str = "last"
+    act: str = "relu"
+    pooling: str = "max"
+    mlp_ratio: int = 2
+    train_eps: bool = True
+    edge_feature: int | None = 0
+    input_init: str = "xavier"
+    unassigned_cell_type: str | None = None
+
+    def __post_init__(self) -> None:
+        _one_of("norm", self.norm, ("layernorm", "batchnorm", "none"))
+        _one_of("jk", self.jk, ("last", "concat", "max", "sum"))
+        _one_of("act", self.act, ("relu", "gelu", "leaky_relu"))
+        _one_of("pooling", self.pooling, ("max", "mean", "sum"))
+        _one_of("input_init", self.input_init, ("xavier", "default"))
+
+
+@dataclass(frozen=True)
+class HeadConfig(Closed):
+    num_layers: int = 1
+    hidden_dim: int | None = None
+    dropout: float = 0.0
+    act: str = "leaky_relu"
+
+    def __post_init__(self) -> None:
+        _one_of("act", self.act, ("leaky_relu", "relu", "gelu"))
+
+
+@dataclass(frozen=True)
+class AttentionConfig(Closed):
+    projection_dim: int = 32
+    hidden_dim: int = 8
+    dropout: float = 0.25
+    init: str = "kaiming"
+
+    def __post_init__(self) -> None:
+        _one_of("init", self.init, ("kaiming", "default"))
+
+
+@dataclass(frozen=True)
+class ProbeConfig(Closed):
+    roots_per_unit: int | None = 96
+    seed: int = 0
+    C: float = 1.0
+    class_weight: str | None = "balanced"
+    max_iter: int = 3000
+
+    def __post_init__(self) -> None:
+        _one_of("class_weight", self.class_weight, (None, "balanced"))
+
+
+@dataclass(frozen=True)
+class PretrainViews(Closed):
+    mu: float = 0.25
+    p_lambda: float = 0.45
+    noise_std: float = 0.2
+    noise_features: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class FinetuneAugmentation(Closed):
+    drop_edge_p: float = 0.0
+    mask_node_p: float = 0.0
+    seed: int = 0
+
+    @property
+    def enabled(self) -> bool:
+        return self.drop_edge_p > 0 or self.mask_node_p > 0

@@ -11,31 +11,67 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaica.config import FinetuneAugmentation, PretrainViews, SamplerConfig
 from mosaica.functions.scalars import distance, hash_uniform, log_distance
 from mosaica.plans.groups import map_groups
 
-#: Cells up to which all triangles of a unit are tried at once.
+#: Cells up to which all triangles of a unit are tried at once; both ways give the same edges.
 SMALL_UNIT = 28
+#: Points whose test differs from 0 by no more lie on a circle.
+ON_CIRCLE = 1e-9
 
 
 def _small_delaunay(x: np.ndarray, y: np.ndarray, triples: np.ndarray) -> np.ndarray:
-    """Sides of all triangles with no point strictly inside their circle."""
+    """Sides of all triangles with no point strictly inside their circle and, of further points on it, none before the first corner or beyond the side across from it."""
     a, b, c = triples.T
-    ax, ay, bx, by, cx, cy = x[a], y[a], x[b], y[b], x[c], y[c]
-    turn = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
-    ok = turn != 0
-    a, b, c, turn = a[ok], b[ok], c[ok], turn[ok]
-    dx, dy = x[:, None], y[:, None]
-    ux, uy, vx, vy, wx, wy = x[a] - dx, y[a] - dy, x[b] - dx, y[b] - dy, x[c] - dx, y[c] - dy
-    u, v, w = ux * ux + uy * uy, vx * vx + vy * vy, wx * wx + wy * wy
-    inside = (u * (vx * wy - wx * vy) - v * (ux * wy - wx * uy) + w * (ux * vy - vx * uy)) * np.sign(turn) > 1e-9
+    turn = _turn(x, y, a, b, c)
+    a, b, c, turn = (v[turn != 0] for v in (a, b, c, turn))
+    d = np.arange(len(x))[:, None]
+    test = _in_circle(x, y, a, b, c, d) * np.sign(turn)
+    out = (test > ON_CIRCLE) | (test >= -ON_CIRCLE) & ((d < a) | (_turn(x, y, b, c, d) * turn < 0))
     at = np.arange(len(a))
-    inside[a, at] = inside[b, at] = inside[c, at] = False
-    good = ~inside.any(0)
+    out[a, at] = out[b, at] = out[c, at] = False
+    good = ~out.any(0)
     a, b, c = a[good], b[good], c[good]
     return np.unique(np.concatenate([np.stack(p, 1) for p in ((a, b), (b, c), (a, c))]), axis=0) if len(a) else np.zeros((0, 2), np.int64)
 
 
+def _turn(x: np.ndarray, y: np.ndarray, a, b, c) -> np.ndarray:
+    """Above 0 where the way from a over b to c turns left."""
+    return (x[b] - x[a]) * (y[c] - y[a]) - (y[b] - y[a]) * (x[c] - x[a])
+
+
+def _in_circle(x: np.ndarray, y: np.ndarray, a, b, c, d) -> np.ndarray:
+    """Above 0 where d lies inside the circle through a, b and c, if these turn left."""
+    ux, uy, vx, vy, wx, wy = x[a] - x[d], y[a] - y[d], x[b] - x[d], y[b] - y[d], x[c] - x[d], y[c] - y[d]
+    u, v, w = ux * ux + uy * uy, vx * vx + vy * vy, wx * wx + wy * wy
+    return u * (vx * wy - wx * vy) - v * (ux * wy - wx * uy) + w * (ux * vy - vx * uy)
+
+
+def _fanned(x: np.ndarray, y: np.ndarray, tri: np.ndarray) -> np.ndarray:
+    """Edges of a triangulation in which triangles of one circle are replaced by a fan from its first point."""
+    tri = np.sort(tri, 1)
+    sides = np.concatenate([tri[:, [0, 1]], tri[:, [1, 2]], tri[:, [0, 2]]])
+    owner = np.tile(np.arange(len(tri)), 3)
+    order = np.lexsort((sides[:, 1], sides[:, 0]))
+    sides, owner = sides[order], owner[order]
+    twin = np.flatnonzero((sides[1:] == sides[:-1]).all(1))
+    p, q = owner[twin], owner[twin + 1]
+    apex = tri[q].sum(1) - sides[twin].sum(1)
+    test = _in_circle(x, y, *tri[p].T, apex) * np.sign(_turn(x, y, *tri[p].T))
+    round_ = np.abs(test) <= ON_CIRCLE
+    group = _labels(len(tri), p[round_], q[round_])
+    many = np.bincount(group, minlength=len(tri)) > 1
+    out = [np.delete(tri, np.flatnonzero(many[group]), axis=0)]
+    for g in np.flatnonzero(many).tolist():
+        ring = np.unique(tri[group == g])
+        ring = ring[np.argsort(np.arctan2(y[ring] - y[ring].mean(), x[ring] - x[ring].mean()))]
+        ring = np.roll(ring, -int(ring.argmin()))
+        out.append(np.stack([np.full(len(ring) - 2, ring[0]), ring[1:-1], ring[2:]], 1))
+    tri = np.sort(np.concatenate(out), 1)
+    return np.unique(np.concatenate([tri[:, [0, 1]], tri[:, [1, 2]], tri[:, [0, 2]]]), axis=0)
+
+
 def _large_delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Points inserted along a sweep; a triangle whose circle lies behind the sweep is done.
 
@@ -98,7 +134,7 @@ def _large_delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
                     stay.append(circle(i, j, p))
         live = stay
     tri = order[np.array([t[:3] for t in final + live], np.int64).reshape(-1, 3)]
-    return np.unique(np.sort(np.concatenate([tri[:, [0, 1]], tri[:, [1, 2]], tri[:, [0, 2]]]), 1), axis=0)
+    return _fanned(x, y, tri)
 
 
 def _triples(n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006
@@ -126,8 +162,8 @@ def delaunay_pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def delaunay_edges(cells: DataFrame) -> DataFrame:
     """(unit_id, src, dst) of each unit's Delaunay triangulation, src < dst.
 
-    Where four points lie on one circle both diagonals stay in small units, one
-    in large ones. Cells without a position have no edges.
+    Where more than three cells lie on one empty circle, they are joined in a
+    ring and to the first of them. Cells without a position have no edges.
     """
     kind = cells.schema["cell_id"].dataType.simpleString()
 
@@ -311,17 +347,14 @@ def interior_mask(x: np.ndarray, y: np.ndarray, src: np.ndarray, dst: np.ndarray
     h = _hull(x, y)
     if len(h) < 3:
         return np.ones(n, bool)
-    d2 = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 if n <= 4096 else None
-    if d2 is None:
-        nearest = np.array([np.sort((x - x[i]) ** 2 + (y - y[i]) ** 2)[1] for i in range(n)])
-    else:
-        np.fill_diagonal(d2, np.inf)
-        nearest = d2.min(1)
+    from mosaica.operators.stats import nearest_places
+
+    nearest = nearest_places(x, y, 1)[1][:, 0] ** 2
     reach = tolerance * np.median(np.sqrt(nearest))
     ax, ay, bx, by = x[h], y[h], x[np.roll(h, -1)], y[np.roll(h, -1)]
     ux, uy = bx - ax, by - ay
     t = np.clip(((x[:, None] - ax) * ux + (y[:, None] - ay) * uy) / (ux**2 + uy**2), 0, 1)
-    gap = np.sqrt((x[:, None] - ax - t * ux) ** 2 + (y[:, None] - ay - t * uy) ** 2).min(1)
+    gap = np.sqrt((x[:, None] - ax - t * ux) ** 2 + (y[:, None] - ay - t * uy) ** 2).min(1)  # a hull has few sides
     rim = gap <= reach
     for _ in range(n_hops - 1):
         rim = rim | np.isin(np.arange(n), np.concatenate([dst[rim[src]], src[rim[dst]]]))
@@ -379,7 +412,7 @@ def drop_edges(edges: DataFrame, p: float, seed: int) -> DataFrame:
     return edges.where(hash_uniform(F.lit(seed), "unit_id", "src", "dst") >= 1 - (1 - p) ** 2)
 
 
-def mask_nodes(cells: DataFrame, p: float, seed: int, features: tuple[str, ...] = ("feature",)) -> DataFrame:
+def mask_nodes(cells: DataFrame, p: float | Column, seed: int, features: tuple[str, ...] = ("feature",)) -> DataFrame:
     """With probability p a cell's features become 0 and its type unassigned (null)."""
     hit = hash_uniform(F.lit(seed), "unit_id", "cell_id") < p
     out = cells.withColumn("cell_type", F.when(~hit, F.col("cell_type")))
@@ -398,33 +431,59 @@ def feature_noise(cells: DataFrame, scale: float, seed: int, features: tuple[str
     return out
 
 
+def _loss(s: Column, mu: float, p_lambda: float) -> Column:
+    if not (0 < mu <= 1 and 0 < p_lambda <= 1):
+        raise ValueError("mu and p_lambda must lie above 0 and not above 1")
+    return F.least((1 - s) * mu, F.lit(p_lambda))
+
+
+def mask_importance(cells: DataFrame, edges: DataFrame, mu: float, p_lambda: float, seed: int, features: tuple[str, ...] = ("feature",)) -> DataFrame:
+    """Cells, of which one of importance s loses features and type with probability min((1 - s) mu, p_lambda)."""
+    s = degree_importance(edges, cells).select("unit_id", "cell_id", F.col("importance").alias("__s"))
+    return mask_nodes(cells.join(s, ["unit_id", "cell_id"]), _loss(F.col("__s"), mu, p_lambda), seed, features).select(*cells.columns)
+
+
 def drop_importance(edges: DataFrame, cells: DataFrame, mu: float, p_lambda: float, seed: int) -> DataFrame:
-    """Edges that survive a draw by importance in both directions.
+    """Edges that survive a draw by importance in both directions; `mask_importance` is what happens to their cells.
 
-    A node goes with probability min((1 - s) mu, p_lambda), s being its
-    importance. An edge's s is the mean of its ends', renormalised in its unit
-    as node importance is; each direction draws on its own.
+    An edge's s is the mean of its ends' importance, renormalised in its unit
+    as that is; each direction goes with probability min((1 - s) mu, p_lambda),
+    on a draw of its own.
     """
     s = degree_importance(edges, cells).select("unit_id", "cell_id", F.col("importance").alias("s"))
     e = with_ends(both_ways(edges), s, "s").withColumn("v", (F.col("a_s") + F.col("b_s")) / 2)
     w = Window.partitionBy("unit_id")
     e = e.withColumn("s", F.greatest((F.col("v") - F.avg("v").over(w)) / (F.max("v").over(w) - F.avg("v").over(w) + 1e-8), F.lit(0.0)))
-    p = F.least((1 - F.col("s")) * mu, F.lit(p_lambda))
-    kept = e.where(hash_uniform(F.lit(seed), "unit_id", "src", "dst") >= p).select("unit_id", "src", "dst")
+    kept = e.where(hash_uniform(F.lit(seed), "unit_id", "src", "dst") > _loss(F.col("s"), mu, p_lambda)).select("unit_id", "src", "dst")
     return without_unpaired(kept).where("src < dst")
 
 
-def root_sample(cells: DataFrame, k: int, seed: int, weight: Column | None = None) -> DataFrame:
-    """k cells of each unit without replacement, uniform or by weight (exponential keys), settled by seed and cell."""
+def root_sample(cells: DataFrame, k: int | None, seed: int, weight: Column | None = None) -> DataFrame:
+    """k cells of each unit without replacement, uniform or by weight (exponential keys), settled by seed and cell; all without a k."""
+    if k is None:
+        return cells.select("unit_id", "cell_id")
     u = F.greatest(hash_uniform(F.lit(seed), "unit_id", "cell_id"), F.lit(1e-15))
     key = u if weight is None else -F.ln(u) / weight
     w = Window.partitionBy("unit_id").orderBy(key, "cell_id")
     return cells.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k).select("unit_id", "cell_id")
 
 
-def inverse_frequency(cells: DataFrame) -> DataFrame:
-    """Cells with `weight`: one over the number of cells of their type in the unit."""
-    return cells.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("unit_id", "cell_type")))
+def inverse_frequency(cells: DataFrame, root: bool = False) -> DataFrame:
+    """Cells with `weight`: one over the number of cells of their type in the unit, or over its square root."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("unit_id", "cell_type"))
+    return cells.withColumn("weight", 1.0 / (F.sqrt(n) if root else n))
+
+
+def unit_roots(cells: DataFrame, cfg: SamplerConfig, edges: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """(unit_id, cell_id) of the roots that a sampler's configuration draws: from the interior if it says so (which needs the edges), by its weights."""
+    pool = cells
+    if cfg.interior_roots.enabled:
+        inner = cfg.interior_roots
+        found = interior_cells(cells, edges, cfg.depth if inner.n_hops is None else inner.n_hops, inner.hull_tolerance, inner.keep_largest_component)
+        pool = cells.join(found, ["unit_id", "cell_id"], "left_semi")
+    if cfg.root_weighting is None:
+        return root_sample(pool, cfg.roots_per_unit, seed)
+    return root_sample(inverse_frequency(pool, cfg.root_weighting == "sqrt_inverse"), cfg.roots_per_unit, seed, F.col("weight"))
 
 
 def loader_sizes(cells: DataFrame, roots: int | None, batch: int) -> DataFrame:
@@ -432,3 +491,18 @@ def loader_sizes(cells: DataFrame, roots: int | None, batch: int) -> DataFrame:
     n = cells.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n"))
     n = n.withColumn("n_roots", F.col("n") if roots is None else F.least("n", F.lit(roots).cast("long")))
     return n.where("n_roots > 0").select("unit_id", "n_roots", F.ceil(F.col("n_roots") / batch).alias("n_batches"))
+
+
+def pretrain_view(cells: DataFrame, edges: DataFrame, cfg: PretrainViews, seed: int, features: tuple[str, ...] = ("feature",)) -> tuple[DataFrame, DataFrame]:
+    """(cells, edges) of one view: cells masked and edges dropped by importance, noise on the named features. Two seeds make two views."""
+    if lost := sorted(set(cfg.noise_features) - set(features)):
+        raise ValueError(f"no features {lost}")
+    masked = mask_importance(cells, edges, cfg.mu, cfg.p_lambda, seed, features)
+    noisy = feature_noise(masked, cfg.noise_std, seed, cfg.noise_features) if cfg.noise_features else masked
+    return noisy, drop_importance(edges, cells, cfg.mu, cfg.p_lambda, seed)
+
+
+def finetune_view(cells: DataFrame, edges: DataFrame, cfg: FinetuneAugmentation, features: tuple[str, ...] = ("feature",)) -> tuple[DataFrame, DataFrame]:
+    """(cells, edges) with cells masked and edges dropped uniformly; as they are where neither is asked for."""
+    out = mask_nodes(cells, cfg.mask_node_p, cfg.seed, features) if cfg.mask_node_p > 0 else cells
+    return out, drop_edges(edges, cfg.drop_edge_p, cfg.seed) if cfg.drop_edge_p > 0 else edges

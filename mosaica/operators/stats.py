@@ -6,11 +6,14 @@ once. Statistics come in long form, one row per unit and label (pair).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaica.functions.scalars import distance, hash_uniform
 from mosaica.operators.graph import both_ways, degrees, with_ends
+from mosaica.plans.groups import map_groups
 
 
 def labelled_ends(cells: DataFrame, edges: DataFrame, label: str = "cell_type") -> DataFrame:
@@ -135,28 +138,24 @@ def morans_i(cells: DataFrame, edges: DataFrame, label: str = "cell_type") -> Da
     return out.select("unit_id", "t", *[F.when(sound, F.col(c)).alias(c) for c in ("i", "expected", "variance")])
 
 
-def near_pairs(cells: DataFrame, radius: float, *columns: str, grid: bool = False) -> DataFrame:
+def near_pairs(cells: DataFrame, radius: float, *columns: str) -> DataFrame:
     """Unordered pairs of a unit's cells within `radius`: (unit_id, src, dst, d, a_*, b_*).
 
-    Small units join on the unit. With `grid`, cells join on squares of the
-    radius's width and their neighbours, so that work follows the pairs found
-    and a large unit spreads over many tasks.
+    Cells meet on squares of the radius's width and their neighbours, so that
+    work follows the pairs found and a large unit spreads over many tasks.
     """
     keep = ["x", "y", *columns]
+    square = lambda c: F.floor(F.col(c) / radius)
     a = cells.select("unit_id", F.col("cell_id").alias("src"), *[F.col(c).alias(f"a_{c}") for c in keep])
     b = cells.select("unit_id", F.col("cell_id").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in keep])
-    if grid:
-        square = lambda c: F.floor(F.col(c) / radius)
-        a = a.withColumn("gx", square("a_x")).withColumn("gy", square("a_y"))
-        steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        b = b.withColumn("s", steps).withColumn("gx", square("b_x") + F.col("s.i")).withColumn("gy", square("b_y") + F.col("s.j")).drop("s")
-        pairs = a.join(b, ["unit_id", "gx", "gy"]).drop("gx", "gy")
-    else:
-        pairs = a.join(b, "unit_id")
+    a = a.withColumn("gx", square("a_x")).withColumn("gy", square("a_y"))
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    b = b.withColumn("s", steps).withColumn("gx", square("b_x") + F.col("s.i")).withColumn("gy", square("b_y") + F.col("s.j")).drop("s")
+    pairs = a.join(b, ["unit_id", "gx", "gy"]).drop("gx", "gy")
     return pairs.where("src < dst").withColumn("d", distance("a_x", "a_y", "b_x", "b_y")).where(F.col("d") <= radius)
 
 
-def cross_l(cells: DataFrame, radii: list[float], label: str = "cell_type", grid: bool = False) -> DataFrame:
+def cross_l(cells: DataFrame, radii: list[float], label: str = "cell_type") -> DataFrame:
     """(unit_id, ta, tb, radius, value): Besag's L of label pairs less that of all cells.
 
     L is sqrt(area * pairs within r / all pairs / pi) over ordered pairs without
@@ -164,7 +163,7 @@ def cross_l(cells: DataFrame, radii: list[float], label: str = "cell_type", grid
     has fewer than two cells. One pass over the pairs within the largest radius
     counts for all radii.
     """
-    pairs = near_pairs(cells, max(radii), label, grid=grid)
+    pairs = near_pairs(cells, max(radii), label)
     pairs = pairs.select("unit_id", "d", F.explode(F.array(*[F.struct(F.col(f"{p}_{label}").alias("ta"), F.col(f"{q}_{label}").alias("tb")) for p, q in ("ab", "ba")])).alias("t"))
     counts = pairs.groupBy("unit_id", F.col("t.ta").alias("ta"), F.col("t.tb").alias("tb")).agg(*[F.sum((F.col("d") <= r).cast("long")).alias(f"c{i}") for i, r in enumerate(radii)])
     per_unit = counts.groupBy("unit_id").agg(*[F.sum(f"c{i}").alias(f"all{i}") for i in range(len(radii))])
@@ -191,13 +190,61 @@ def colocalisation(cells: DataFrame, edges: DataFrame, label: str = "cell_type")
     return out.select("unit_id", "ta", "tb", F.log2((F.col("n") + 1) / (F.col("da").cast("double") * F.col("db") / F.col("total") + 1)).alias("value"))
 
 
+#: Cells of a square of the grid on which nearest cells are sought.
+SQUARE = 256
+
+
+def nearest_places(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each point the places of its k nearest others (fewer if there are fewer; ties by place), row by row, and their distances.
+
+    Points of a square meet those of a margin around it; where the k-th is
+    farther than the margin, the margin doubles.
+    """
+    n, k = len(x), min(k, len(x) - 1)
+    if k < 1:
+        return np.zeros((n, 0), np.int64), np.zeros((n, 0))
+    wide = max(float(np.ptp(x)), float(np.ptp(y)), 1e-9)
+    side = wide * min(1.0, np.sqrt(SQUARE / n)) * (1 + 1e-9)
+    gx, gy = ((x - x.min()) // side).astype(np.int64), ((y - y.min()) // side).astype(np.int64)
+    columns = int(gx.max()) + 1
+    square = gy * columns + gx
+    order = np.argsort(square, kind="stable")
+    bounds = np.searchsorted(square[order], np.arange(columns * (int(gy.max()) + 1) + 1))
+    near, far = np.zeros((n, k), np.int64), np.zeros((n, k))
+    for s in np.unique(square).tolist():
+        own, margin = order[bounds[s] : bounds[s + 1]], 1
+        cy, cx = divmod(s, columns)
+        while len(own):
+            rows = range(max(0, cy - margin), min(int(gy.max()), cy + margin) + 1)
+            some = np.sort(np.concatenate([order[bounds[r * columns + max(0, cx - margin)] : bounds[r * columns + min(columns - 1, cx + margin) + 1]] for r in rows]))
+            if len(some) > k:
+                d = np.sqrt((x[own, None] - x[some]) ** 2 + (y[own, None] - y[some]) ** 2)
+                d[own[:, None] == some] = np.inf
+                kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+                done = (kth <= margin * side * (1 - 1e-9)) | (len(some) == n)
+                for i in np.flatnonzero(done).tolist():
+                    close = np.flatnonzero(d[i] <= kth[i])
+                    best = close[np.argsort(d[i, close], kind="stable")[:k]]
+                    near[own[i]], far[own[i]] = some[best], d[i, best]
+                own = own[~done]
+            margin *= 2
+    return near, far
+
+
 def nearest(cells: DataFrame, k: int, *columns: str) -> DataFrame:
-    """The k nearest other cells of the unit: (unit_id, src, dst, d, rank, b_*); ties go to the smaller id."""
-    a = cells.select("unit_id", F.col("cell_id").alias("src"), F.col("x").alias("a_x"), F.col("y").alias("a_y"))
-    b = cells.select("unit_id", F.col("cell_id").alias("dst"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    pairs = a.join(b, "unit_id").where("src <> dst").withColumn("d", distance("a_x", "a_y", "b_x", "b_y"))
-    w = Window.partitionBy("unit_id", "src").orderBy("d", "dst")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """The k nearest other cells of the unit: (unit_id, src, dst, d, rank, b_*); ties go to the smaller id. A unit fits in a worker; pairs of cells that are far apart are never made."""
+    types = dict(cells.dtypes)
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        near, far = nearest_places(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), k)
+        if not near.size:
+            return None
+        to, ids = near.reshape(-1), pdf["cell_id"].to_numpy()
+        out = {"unit_id": pdf["unit_id"].iloc[0], "src": np.repeat(ids, near.shape[1]), "dst": ids[to], "d": far.reshape(-1), "rank": np.tile(np.arange(1, near.shape[1] + 1), len(ids))}
+        return pd.DataFrame(out | {f"b_{c}": pdf[c].to_numpy()[to] for c in columns})
+
+    schema = f"unit_id {types['unit_id']}, src {types['cell_id']}, dst {types['cell_id']}, d double, rank int" + "".join(f", b_{c} {types[c]}" for c in columns)
+    return map_groups(cells.select("unit_id", "cell_id", "x", "y", *columns), "unit_id", search, schema, ("cell_id",))
 
 
 def window_composition(cells: DataFrame, k: int, label: str = "cell_type") -> DataFrame:

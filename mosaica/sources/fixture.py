@@ -51,10 +51,11 @@ tri AS (
   JOIN cells c ON c.unit_id = a.unit_id AND b.cell_id < c.cell_id),
 open_tri AS (
   SELECT * FROM tri WHERE turn <> 0 AND NOT EXISTS (
-    SELECT 1 FROM cells d WHERE d.unit_id = tri.unit_id AND d.cell_id NOT IN (tri.ia, tri.ib, tri.ic) AND
-      sign(tri.turn) * (((ax - d.x) * (ax - d.x) + (ay - d.y) * (ay - d.y)) * ((bx - d.x) * (cy - d.y) - (cx - d.x) * (yb - d.y))
+    SELECT 1 FROM (SELECT d.*, sign(tri.turn) * (((ax - d.x) * (ax - d.x) + (ay - d.y) * (ay - d.y)) * ((bx - d.x) * (cy - d.y) - (cx - d.x) * (yb - d.y))
         - ((bx - d.x) * (bx - d.x) + (yb - d.y) * (yb - d.y)) * ((ax - d.x) * (cy - d.y) - (cx - d.x) * (ay - d.y))
-        + ((cx - d.x) * (cx - d.x) + (cy - d.y) * (cy - d.y)) * ((ax - d.x) * (yb - d.y) - (bx - d.x) * (ay - d.y))) > 1e-9)),
+        + ((cx - d.x) * (cx - d.x) + (cy - d.y) * (cy - d.y)) * ((ax - d.x) * (yb - d.y) - (bx - d.x) * (ay - d.y))) AS inside
+      FROM cells d WHERE d.unit_id = tri.unit_id AND d.cell_id NOT IN (tri.ia, tri.ib, tri.ic)) d
+    WHERE inside > 1e-9 OR inside >= -1e-9 AND (d.cell_id < tri.ia OR ((cx - bx) * (d.y - yb) - (cy - yb) * (d.x - bx)) * tri.turn < 0))),
 edges AS (
   SELECT unit_id, ia AS src, ib AS dst FROM open_tri UNION SELECT unit_id, ib, ic FROM open_tri UNION SELECT unit_id, ia, ic FROM open_tri)"""
 )
