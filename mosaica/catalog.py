@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaica.config import ClusteringConfig, SamplerConfig
 from mosaica.functions.scalars import NUDGE, l2_normalised, log_distance, niche_name, normal_two_sided_sql, safe_name, tidy
 from mosaica.operators import attribution, cluster, graph, metrics, niches, replicate, splits, stats, survival, testing, units
 from mosaica.sources import fixture, readers
@@ -224,22 +225,43 @@ def folds_overlap_check(spark, d):
     return splits.overlapping_ids(c.union(c.where("id % 6 < 2").select(F.lit(0).cast("long"), "id")))
 
 
-_SPLIT = """WITH g AS (
-  SELECT c_custkey AS group_id, c_nationkey AS s, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('5|' || CAST(c_custkey AS VARCHAR)), c_custkey) AS k,
-         count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+def _split_sql(stratum: str) -> str:
+    """Largest remainder by stratum, then a group from the largest part for each part without one."""
+    deal = "l0"
+    steps = ""
+    for i in (1, 2, 3):
+        steps += f", s{i} AS (SELECT * EXCLUDE (l{i - 1}), CASE WHEN l{i - 1}[{i}] = 0 AND list_max(l{i - 1}) > 1 THEN list_transform(range(1, 4), lambda k: l{i - 1}[k] + CAST(k = {i} AS INTEGER) - CAST(k = list_position(l{i - 1}, list_max(l{i - 1})) AS INTEGER)) ELSE l{i - 1} END AS l{i} FROM {'s' + str(i - 1) if i > 1 else 'b'})"
+    return f"""WITH g AS (
+  SELECT c_custkey AS group_id, {stratum} AS s, row_number() OVER (PARTITION BY {stratum} ORDER BY md5('5|' || CAST(c_custkey AS VARCHAR)), c_custkey) AS k,
+         count(*) OVER (PARTITION BY {stratum}) AS n FROM customer),
 q AS (SELECT *, floor(round(n * 0.7e0, 9)) AS f0, floor(round(n * 0.15e0, 9)) AS f1, round(n * 0.7e0, 9) - floor(round(n * 0.7e0, 9)) AS r0, round(n * 0.15e0, 9) - floor(round(n * 0.15e0, 9)) AS r1 FROM g),
 z AS (SELECT *, n - f0 - 2 * f1 AS rest, round(r0, 9) >= round(r1, 9) AS first FROM q),
-b AS (SELECT *, f0 + CASE WHEN rest >= 1 AND first OR rest >= 3 THEN 1 ELSE 0 END AS a,
-             f1 + CASE WHEN rest >= 2 OR rest >= 1 AND NOT first THEN 1 ELSE 0 END AS c FROM z)
-SELECT group_id, CASE WHEN k <= a THEN 'train' WHEN k <= a + c THEN 'val' ELSE 'test' END AS split FROM b"""
+a AS (SELECT *, f0 + CASE WHEN rest >= 1 AND first OR rest >= 3 THEN 1 ELSE 0 END AS a,
+             f1 + CASE WHEN rest >= 2 OR rest >= 1 AND NOT first THEN 1 ELSE 0 END AS c FROM z),
+b AS (SELECT group_id, k, [CAST(a AS BIGINT), CAST(c AS BIGINT), CAST(n - a - c AS BIGINT)] AS {deal} FROM a){steps}
+SELECT group_id, CASE WHEN k <= l3[1] THEN 'train' WHEN k <= l3[1] + l3[2] THEN 'val' ELSE 'test' END AS split FROM s3"""
 
 
-@query(_SPLIT)
+@query(_split_sql("c_nationkey"))
 def random_split(spark, d):
     g = fixture.table(spark, d, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_nationkey").alias("s"))
     return splits.random_split(g, (0.7, 0.15, 0.15), 5, "s")
 
 
+@query(_split_sql("(c_custkey // 3 - (c_custkey // 3) % 2)"))
+def random_split_small_strata(spark, d):
+    # strata of six groups or, at the ends of the table, fewer
+    c = F.floor(F.col("c_custkey") / 3)
+    g = fixture.table(spark, d, "customer").select(F.col("c_custkey").alias("group_id"), (c - c % 2).alias("s"))
+    return splits.random_split(g, (0.7, 0.15, 0.15), 5, "s")
+
+
+@query(_split_sql("c_custkey // 3"))
+def random_split_three_groups(spark, d):
+    g = fixture.table(spark, d, "customer").select(F.col("c_custkey").alias("group_id"), F.floor(F.col("c_custkey") / 3).alias("s"))
+    return splits.random_split(g, (0.7, 0.15, 0.15), 5, "s")
+
+
 @query("SELECT CAST(c_custkey % 50 AS BIGINT) AS group_id, CAST(max(c_custkey % 50 % 4) AS DOUBLE) AS stratum FROM customer GROUP BY 1")
 def strata(spark, d):
     c = fixture.table(spark, d, "customer")
@@ -398,6 +420,16 @@ def root_sample_weighted(spark, d):
     return graph.root_sample(c, 8, 3, F.col("weight"))
 
 
+@query(f"WITH {CELLS_SQL}, w AS (SELECT *, 1e0 / sqrt(count(*) OVER (PARTITION BY unit_id, cell_type)) AS weight FROM cells) SELECT unit_id, cell_id FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY -ln(greatest({_u('3', 'unit_id', 'cell_id')}, 1e-15)) / weight, cell_id) AS k FROM w) WHERE k <= 8")
+def root_sample_sqrt(spark, d):
+    return graph.unit_roots(_cells(spark, d), SamplerConfig(roots_per_unit=8, root_weighting="sqrt_inverse"), seed=3)
+
+
+@query(f"WITH {CELLS_SQL} SELECT unit_id, cell_id FROM cells")
+def root_sample_all(spark, d):
+    return graph.unit_roots(_cells(spark, d), SamplerConfig(roots_per_unit=None), seed=3)
+
+
 @query(f"WITH {CELLS_SQL}, n AS (SELECT unit_id, least(count(*), 12) AS n_roots FROM cells GROUP BY unit_id) SELECT unit_id, n_roots, CAST(ceil(n_roots / 5e0) AS BIGINT) AS n_batches FROM n")
 def loader_sizes(spark, d):
     return graph.loader_sizes(_cells(spark, d), 12, 5)
@@ -416,13 +448,21 @@ def mask_nodes_hash(spark, d):
 @query(f"""WITH {EDGES_SQL}{_DEG}{_IMP},
 v AS (SELECT e.unit_id, e.src, e.dst, (a.importance + b.importance) / 2 AS v FROM (SELECT unit_id, src, dst FROM edges UNION ALL SELECT unit_id, dst, src FROM edges) e JOIN im a ON a.unit_id = e.unit_id AND a.cell_id = e.src JOIN im b ON b.unit_id = e.unit_id AND b.cell_id = e.dst),
 s AS (SELECT *, greatest((v - avg(v) OVER w) / (max(v) OVER w - avg(v) OVER w + 1e-8), 0e0) AS s FROM v WINDOW w AS (PARTITION BY unit_id)),
-k AS (SELECT unit_id, src, dst FROM s WHERE {_u('2', 'unit_id', 'src', 'dst')} >= least((1 - s) * 0.25e0, 0.45e0))
+k AS (SELECT unit_id, src, dst FROM s WHERE {_u('2', 'unit_id', 'src', 'dst')} > least((1 - s) * 0.25e0, 0.45e0))
 SELECT a.unit_id, a.src, a.dst FROM k a JOIN k b ON a.unit_id = b.unit_id AND a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst""")
 def drop_importance_hash(spark, d):
     c = _cells(spark, d)
     return graph.drop_importance(_edges(c), c, 0.25, 0.45, 2)
 
 
+@query(f"""WITH {EDGES_SQL}{_DEG}{_IMP},
+m AS (SELECT c.*, {_u('2', 'c.unit_id', 'c.cell_id')} < least((1 - i.importance) * 0.25e0, 0.45e0) AS hit FROM cells c JOIN im i ON i.unit_id = c.unit_id AND i.cell_id = c.cell_id)
+SELECT unit_id, cell_id, CASE WHEN NOT hit THEN cell_type END AS cell_type, CASE WHEN hit THEN 0e0 ELSE feature END AS feature FROM m""")
+def mask_importance_hash(spark, d):
+    c = _cells(spark, d)
+    return graph.mask_importance(c, _edges(c), 0.25, 0.45, 2).select("unit_id", "cell_id", "cell_type", "feature")
+
+
 # ---- statistics of units -------------------------------------------------------------------------------------------
 
 _CC = ", cc AS (SELECT unit_id, ta, tb, count(*) AS n FROM both_ways GROUP BY ALL)"
@@ -520,11 +560,6 @@ def cross_l(spark, d):
     return rounded(stats.cross_l(_cells(spark, d), RADII))
 
 
-@query(f"WITH {CELLS_SQL}{_TK}{_CL} SELECT unit_id, ta, tb, radius, {r('value')} AS value FROM cl")
-def cross_l_grid(spark, d):
-    return rounded(stats.cross_l(_cells(spark, d), RADII, grid=True))
-
-
 @query(f"WITH {CELLS_SQL}{_TK}{_CL}, pp AS (SELECT ta, tb, radius, avg(value) AS mean_value, count(*) AS n_units FROM cl WHERE value IS NOT NULL GROUP BY ALL), pr AS (SELECT radius, round(avg(abs(mean_value)), 9) AS s FROM pp GROUP BY radius) SELECT 'all' AS scope, radius, ta, tb, {r('mean_value')} AS mean_value, n_units FROM pp WHERE radius = (SELECT radius FROM pr ORDER BY s DESC, radius LIMIT 1)")
 def cross_l_rstar(spark, d):
     return rounded(stats.best_radius(stats.cross_l(_cells(spark, d), RADII).withColumn("scope", F.lit("all")), "scope"))
@@ -607,7 +642,7 @@ qq AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, metric) A
 def _tests(spark, d):
     v = _patient_values(spark, d).withColumn("value", F.round("value", 9))
     g = v.select("patient_id", (F.col("patient_id").cast("int") % 2 == 1).alias("positive")).distinct()
-    return testing.group_tests(v, g, min_per_group=5)
+    return testing.group_tests(v, g, min_per_group=5, exact=False)
 
 
 @query(f"WITH {_GT} SELECT metric, {r('u / (n1 * n2)')} AS auroc FROM uu")
@@ -720,14 +755,16 @@ def pca_covariance(spark, d):
 
 
 _VOTE = """, uv AS (SELECT vec_id AS cell_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS v FROM embeddings),
-dk AS (SELECT a.cell_id, b.label AS cluster, row_number() OVER (PARTITION BY a.cell_id ORDER BY round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9), b.cell_id) AS k FROM uv a, uv b WHERE a.cell_id % 10 <> 0 AND b.cell_id % 10 = 0),
+vs AS (SELECT * FROM uv ORDER BY md5('0|' || CAST(cell_id AS VARCHAR)), cell_id LIMIT 100000),
+dk AS (SELECT a.cell_id, b.label AS cluster, row_number() OVER (PARTITION BY a.cell_id ORDER BY round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9), b.cell_id) AS k FROM uv a, vs b),
 vt AS (SELECT cell_id, cluster, count(*) AS n FROM dk WHERE k <= 5 GROUP BY ALL)"""
 
 
 @query(f"WITH {SCORES_SQL}{_VOTE} SELECT cell_id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY n DESC, cluster) AS r FROM vt) WHERE r = 1")
 def knn_vote(spark, d):
+    # the hash sample of the configured size votes, on all cells
     s = _scores(spark, d)
-    return niches.knn_vote(s.where("cell_id % 10 <> 0"), s.where("cell_id % 10 = 0").withColumn("cluster", F.col("cell_type")), 5)
+    return niches.knn_vote(s, cluster.hash_sample(s.withColumn("cluster", F.col("cell_type")), ClusteringConfig().sample_size, 0), 5)
 
 
 @query(f"WITH {SCORES_SQL}, g AS (SELECT cell_id, round((l0 - 0.1e0) * (l0 - 0.1e0) + (l1 - 0.1e0) * (l1 - 0.1e0), 9) AS g0, round((l0 + 0.1e0) * (l0 + 0.1e0) + l1 * l1, 9) AS g1, round(l0 * l0 + (l1 + 0.2e0) * (l1 + 0.2e0), 9) AS g2 FROM sc) SELECT cell_id, CAST(CASE WHEN g0 <= g1 AND g0 <= g2 THEN 0 WHEN g1 <= g2 THEN 1 ELSE 2 END AS INTEGER) AS cluster FROM g")
@@ -816,11 +853,14 @@ _EN = f"{EDGES_SQL}{ENDS_SQL}, nc AS (SELECT *, CAST(floor(x / 60) % 3 AS INTEGE
 
 
 @query(f"""WITH {_EN}, en AS (SELECT b.*, a.niche AS na, c.niche AS nb FROM both_ways b JOIN nc a ON a.unit_id = b.unit_id AND a.cell_id = b.src JOIN nc c ON c.unit_id = b.unit_id AND c.cell_id = b.dst),
-tis AS (SELECT ta, tb, count(*) / (SELECT count(*) FROM en) AS tissue FROM en GROUP BY ta, tb),
-own AS (SELECT na AS niche, ta, tb, count(*) AS n FROM en WHERE na = nb AND na <> 0 GROUP BY ALL),
-sz AS (SELECT niche, sum(n) AS ends FROM own GROUP BY niche),
-g AS (SELECT sz.niche, tis.ta, tis.tb, ends, tissue, coalesce(n, 0) AS n FROM sz CROSS JOIN tis LEFT JOIN own ON own.niche = sz.niche AND own.ta = tis.ta AND own.tb = tis.tb WHERE tis.ta <= tis.tb)
-SELECT niche, ta, tb, CAST(CASE WHEN ta = tb THEN n / 2 ELSE n END AS BIGINT) AS n_contacts, CASE WHEN ends / 2 >= 100 AND n > 0 THEN {r('log2(n / ends / tissue)')} END AS value FROM g""")
+names AS (SELECT DISTINCT cell_type AS t FROM nc), nn AS (SELECT DISTINCT niche FROM nc WHERE niche <> 0),
+pr AS (SELECT niche, a.t AS ta, b.t AS tb FROM nn, names a, names b WHERE a.t <= b.t),
+tis AS (SELECT ta, tb, count(*) AS n FROM en GROUP BY ta, tb),
+own AS (SELECT na AS niche, ta, tb, count(*) AS n FROM en WHERE na = nb GROUP BY ALL),
+g AS (SELECT pr.*, coalesce(own.n, 0) AS n, coalesce(tis.n, 0) / (SELECT count(*) FROM en) AS tissue, (SELECT sum(n) FROM own o WHERE o.niche = pr.niche) AS ends,
+        CAST(CASE WHEN pr.ta = pr.tb THEN coalesce(own.n, 0) / 2 ELSE coalesce(own.n, 0) END AS BIGINT) AS n_contacts
+      FROM pr LEFT JOIN own ON own.niche = pr.niche AND own.ta = pr.ta AND own.tb = pr.tb LEFT JOIN tis ON tis.ta = pr.ta AND tis.tb = pr.tb)
+SELECT niche, ta, tb, n_contacts, CASE WHEN n_contacts >= 100 AND tissue > 0 THEN {r('log2(n / ends / tissue)')} END AS value FROM g""")
 def niche_contacts(spark, d):
     a = _event_niches(spark, d)
     return rounded(niches.niche_contacts(a, _edges(a), 100))
@@ -890,10 +930,15 @@ def logrank_oe(spark, d):
     return rounded(survival.logrank_oe(_outcomes(spark, d)))
 
 
-@query()
+@query(f"""WITH {_OC}, ev AS (SELECT * FROM rt WHERE d > 0),
+ng AS (SELECT ev.t, CAST(ev.d AS DOUBLE) AS d, CAST(ev.n AS DOUBLE) AS n, count(*) FILTER (grp = 0) / CAST(ev.n AS DOUBLE) AS a, count(*) FILTER (grp = 1) / CAST(ev.n AS DOUBLE) AS b FROM ev JOIN o ON o.time >= ev.t GROUP BY ev.t, ev.d, ev.n),
+f AS (SELECT *, CASE WHEN n > 1 THEN d * (n - d) / (n - 1) ELSE 0e0 END AS f FROM ng),
+s AS (SELECT (SELECT count(*) FROM o WHERE event AND grp = 0) - sum(d * a) AS x, (SELECT count(*) FROM o WHERE event AND grp = 1) - sum(d * b) AS y, sum(f * a * (1 - a)) AS v, sum(f * b * (1 - b)) AS w, -sum(f * a * b) AS c FROM f),
+k AS (SELECT (w * x * x - 2 * c * x * y + v * y * y) / (v * w - c * c) AS stat FROM s)
+SELECT {r('stat')} AS statistic, {r('exp(-stat / 2)')} AS p FROM k""")
 def logrank_test(spark, d):
     stat, p = survival.logrank(_outcomes(spark, d))
-    return spark.createDataFrame([(stat, p)], "statistic double, p double")
+    return rounded(spark.createDataFrame([(stat, p)], "statistic double, p double"))
 
 
 @query(f"WITH {_OC}, k AS (SELECT *, sum(exp(z * 0.1e0)) OVER w AS s0, sum(exp(z * 0.1e0) * z) OVER w AS s1, sum(exp(z * 0.1e0) * z * z) OVER w AS s2 FROM oz WINDOW w AS (ORDER BY time DESC RANGE UNBOUNDED PRECEDING)) SELECT {r('sum(z * 0.1e0 - ln(s0))', 4)} AS loglik, {r('sum(z - s1 / s0)', 4)} AS score, {r('sum(s2 / s0 - s1 / s0 * (s1 / s0))', 4)} AS information FROM k WHERE event")
@@ -1044,7 +1089,7 @@ def score_cells(spark, d):
 
     c = units.encode(_cells(spark, d), units.vocabulary(fixture.raw_cells(spark, d)))
     e = graph.edge_features(_edges(c), c)
-    out = encoder.score_cells(c, e, encoder.random_weights(1, 5, 2), ("feature",), depth=2)
+    out = encoder.score_cells(c, e, encoder.random_weights(1, 5, 2), ("feature",), SamplerConfig(depth=2))
     return out.select("unit_id", "cell_id", tidy(F.col("instance_logits")[0], 4).alias("l0"), tidy(F.col("attention_logits")[1], 4).alias("a1"))
 
 

@@ -170,11 +170,11 @@ def density_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int = 1,
     return out
 
 
-def fit_density(df: DataFrame, sample_size: int, min_cluster_size: int, min_samples: int = 1, seed: int = 0, leaf: bool = False, space: str = "space") -> DataFrame:
-    """(cell_id, space, cluster) of a hash sample clustered on the driver; its size is the bound that makes it fit there."""
+def fit_density(df: DataFrame, sample_size: int, min_cluster_size: int, min_samples: int = 1, seed: int = 0, leaf: bool = False, space: str = "space", cosine: bool = True) -> DataFrame:
+    """(cell_id, space, cluster) of a hash sample clustered on the driver, as unit vectors with `cosine`; its size is the bound that makes it fit there, and its work grows with the square of it."""
     sample = hash_sample(df.select("cell_id", space), sample_size, seed).orderBy("cell_id").toPandas()
     x = np.array(sample[space].tolist(), float).reshape(len(sample), -1)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    norm = np.linalg.norm(x, axis=1, keepdims=True) if cosine else np.ones((len(x), 1))
     sample["cluster"] = density_clusters(x / np.where(norm > 0, norm, 1), min_cluster_size, min_samples, leaf)
     kind = dict(df.dtypes)
     return df.sparkSession.createDataFrame(sample.assign(cluster=sample["cluster"].astype("int32")), f"cell_id {kind['cell_id']}, {space} {kind[space]}, cluster int")

@@ -79,17 +79,23 @@ class NicheAnalysis:
 
 
 def cluster_cells(scores: DataFrame, cfg: ClusteringConfig = ClusteringConfig()) -> DataFrame:  # noqa: B008
-    """(cell_id, cluster) of all cells: a sample clustered by density and the rest by vote of their neighbours, or k-means throughout."""
-    s = scores.select("cell_id", F.col("space"))
+    """(cell_id, cluster) of all cells: a sample is clustered, by density or by k-means, and the rest goes by vote of its neighbours there.
+
+    `scores` have the vectors of the configured space as attention_space or
+    embedding, or have one column `space`.
+    """
+    column = {"attention": "attention_space", "embedding": "embedding"}[cfg.space]
+    s = scores.select("cell_id", F.col(column if column in scores.columns else "space").alias("space"))
     if cfg.pca:
         s = cluster.pca_transform(s, cluster.pca_fit(cluster.hash_sample(s, cfg.sample_size, cfg.seed), cfg.pca))
     cosine = cfg.metric == "cosine"
     if cfg.method == "kmeans":
-        centres = cluster.kmeans_fit(cluster.hash_sample(s, cfg.sample_size, cfg.seed), cfg.n_clusters, cfg.seed, cosine=cosine)
-        return cluster.kmeans_assign(s, centres, cosine=cosine).select("cell_id", "cluster")
-    fit = cluster.fit_density(s, cfg.sample_size, cfg.min_cluster_size, cfg.min_samples, cfg.seed, cfg.selection == "leaf")
+        some = cluster.hash_sample(s, cfg.sample_size, cfg.seed)
+        fit = cluster.kmeans_assign(some, cluster.kmeans_fit(some, cfg.n_clusters, cfg.seed, cosine=cosine), cosine=cosine)
+    else:
+        fit = cluster.fit_density(s, cfg.sample_size, cfg.min_cluster_size, cfg.min_samples, cfg.seed, cfg.selection == "leaf", cosine=cosine)
     rest = s.join(fit.select("cell_id"), "cell_id", "left_anti")
-    return niches.knn_vote(rest, fit, cfg.assign_k, cosine=cosine).unionByName(fit.select("cell_id", "cluster"))
+    return niches.knn_vote(rest, fit, cfg.assign_k, cosine=cosine).unionByName(fit.select("cell_id", F.col("cluster").cast("int").alias("cluster")))
 
 
 def analyse_niches(

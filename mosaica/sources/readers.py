@@ -6,7 +6,7 @@ import json
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KINDS = {"csv": "csv", "tsv": "tsv", "txt": "tsv", "h5ad": "h5ad", "sce": "sce", "rds": "sce", "parquet": "parquet"}
@@ -41,6 +41,25 @@ def sound_cells(cells: DataFrame) -> DataFrame:
     return cells.withColumn("x", F.when(bad, F.raise_error(F.lit("a coordinate or feature is not finite")).cast("double")).otherwise(F.col("x")))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Column]:
+    """(`df` with what its rows' numbers come from, those numbers as text): from 0 in the order in which the rows are read.
+
+    A row knows its partition and its place there; how many rows come before a
+    partition is counted once, and the counts, one for each partition, are
+    broadcast.
+    """
+    at = df.withColumn("__at", F.monotonically_increasing_id())
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = sorted((r.p, r.n) for r in at.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, starts = 0, []
+    for p, n in sizes:
+        starts.append((p, before))
+        before += n
+    table = df.sparkSession.createDataFrame(starts, "__part bigint, __before bigint")
+    out = at.withColumn("__place", place).join(F.broadcast(table), part == F.col("__part"), "left")
+    return out, (F.col("__before") + F.col("__place")).cast("string")
+
+
 def load_cells(
     spark: SparkSession,
     path: str,
@@ -76,8 +95,7 @@ def load_cells(
     if cell_id and cell_id in df.columns:
         ids = F.col(cell_id).cast("string")
     else:
-        df = df.withColumn("__at", F.monotonically_increasing_id())
-        ids = (F.row_number().over(Window.orderBy("__at")) - 1).cast("string")
+        df, ids = numbered(df)
     kinds = F.coalesce(F.col(cell_type).cast("string"), F.lit("nan")) if cell_type and cell_type in df.columns else F.lit(None).cast("string")
     out = df.select(ids.alias("cell_id"), *[F.col(c).cast("double").alias(n) for c, n in zip(coords, ("x", "y"), strict=True)], kinds.alias("cell_type"), F.array(*[F.col(c).cast("double") for c in names]).cast("array<double>").alias("features"))
     return sound_cells(out), names

@@ -25,14 +25,23 @@ def pending_units(units: DataFrame, done: DataFrame, stamp: str) -> DataFrame:
 
 
 def write_scores(scores: DataFrame, path: str, model: str, stamp: str) -> None:
-    """Add scores of units to a model's partition; rows carry the stamp that `pending_units` looks for."""
-    scores.withColumn("stamp", F.lit(stamp)).withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(path)
+    """Add scores of units to a model's partition of one stamp, which `read_scores` and `pending_units` look for; another stamp's are left where they are."""
+    scores.write.mode("append").parquet(f"{path}/model={model}/stamp={stamp}")
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    """Epoch metrics as JSON lines; undefined values are left out."""
+def read_scores(spark: SparkSession, path: str, model: str, stamp: str) -> DataFrame:
+    """A model's scores of one stamp; a unit that was written twice, as by a run that failed later, counts once for each cell."""
+    return spark.read.parquet(f"{path}/model={model}/stamp={stamp}").dropDuplicates(["unit_id", "cell_id"])
+
+
+def append_metrics(df: DataFrame, path: str, batch: int | None = None) -> None:
+    """Epoch metrics as JSON lines; undefined values are left out. A numbered batch has a folder of its own, which a second try replaces."""
     cols = [F.when(~F.isnan(c), F.col(f"`{c}`")).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes]
-    df.select(*cols).write.mode("append").json(path)
+    out = df.select(*cols).write
+    if batch is None:
+        out.mode("append").json(path)
+    else:
+        out.mode("overwrite").json(f"{path}/batch={batch}")
 
 
 def report(niches: DataFrame, moran: DataFrame | None = None, cox: DataFrame | None = None) -> str:

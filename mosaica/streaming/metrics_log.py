@@ -9,5 +9,5 @@ from mosaica.sources.sinks import append_metrics
 
 
 def log_metrics(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append each batch of a stream of epoch metrics to the JSON lines at `path`; undefined values are left out. Runs over what is there, then ends."""
-    return stream.writeStream.foreachBatch(lambda df, _: append_metrics(df, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Write each batch of a stream of epoch metrics as JSON lines below `path`, once however often it is tried; undefined values are left out. Runs over what is there, then ends."""
+    return stream.writeStream.foreachBatch(lambda df, batch: append_metrics(df, path, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -53,7 +53,19 @@ def test_encoder_forward_by_hand():
     one = np.ones((1, 1))
     layer = {"edge": np.zeros((2, 1)), "w1": one, "b1": np.zeros(1), "w2": one, "b2": np.zeros(1)}
     h = encoder.encode_graph(x, None, src, dst, np.zeros((2, 2)), {"in": one, "layers": [layer, layer], "jk": "concat"})
-    assert h.tolist() == [[3.0, 6.0], [3.0, 6.0]]
+    assert h.tolist() == [[1.0, 3.0, 6.0], [2.0, 3.0, 6.0]]
+
+
+def test_cox_head_finds_planted_weights(spark):
+    r = np.random.default_rng(5)
+    z = r.normal(size=(400, 3)) * [1.0, 5.0, 0.2] + [3.0, 0.0, -1.0]
+    w = np.array([0.9, -0.1, 0.0])
+    t = np.round(r.exponential(1 / np.exp((z - z.mean(0)) @ w)), 2)
+    d = spark.createDataFrame([(v.tolist(), float(a), int(i % 5 > 0)) for i, (v, a) in enumerate(zip(z, t, strict=True))], "space array<double>, time double, event int")
+    got, bias = encoder.fit_cox_head(d, reg=1e6)
+    assert np.abs((got[0] - w) * z.std(0)).max() < 0.2 and np.allclose((z @ got[0] + bias).mean(), 0, atol=1e-6)
+    with pytest.raises(ValueError, match="no event"):
+        encoder.fit_cox_head(d.withColumn("event", d["event"] * 0))
 
 
 def test_metric_edges(spark):

@@ -101,3 +101,15 @@ def test_sinks(spark, tmp_path):
     sinks.append_metrics(d, str(tmp_path / "j"))
     assert readers.read_epoch_metrics(spark, str(tmp_path / "j")).where("v is null").count() == 1
     assert "| u | 1 |" in sinks.report(d.where("unit_id = 'u'"))
+
+
+def test_configurations_of_models_are_closed():
+    for kind, bad in ((config.EncoderConfig, {"norm": "group"}), (config.HeadConfig, {"act": "tanh"}), (config.AttentionConfig, {"init": "zeros"}), (config.SamplerConfig, {"root_weighting": "uniform"}), (config.ProbeConfig, {"class_weight": "all"}), (config.SamplerConfig, {"roots_per_unit": 0})):
+        with pytest.raises(ValueError):
+            kind.from_dict(bad)
+        with pytest.raises(ValueError, match="has no"):
+            kind.from_dict({"surprise": 1})
+    cfg = config.SamplerConfig.from_dict({"roots_per_unit": None, "root_weighting": "sqrt_inverse", "interior_roots": {"enabled": True}})
+    assert cfg.interior_roots.enabled and cfg.ego_radius.radius(4) == 355.0
+    assert config.SamplerConfig.from_dict(cfg.as_dict()) == cfg
+    assert not config.FinetuneAugmentation().enabled and config.PretrainViews.from_dict({"noise_features": ["a"]}).noise_features == ("a",)
