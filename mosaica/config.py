@@ -6,7 +6,7 @@ The defaults are fixed values of the workflow.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, field, fields
 from typing import Any, Self
 
 
@@ -288,3 +288,75 @@ class FinetuneAugmentation(Closed):
     @property
     def enabled(self) -> bool:
         return self.drop_edge_p > 0 or self.mask_node_p > 0
+
+
+@dataclass(frozen=True)
+class SelectionConfig(Closed):
+    metric: str = "val/auroc"
+    mode: str = "max"
+    patience: int = 8
+
+    def __post_init__(self) -> None:
+        _one_of("mode", self.mode, ("max", "min"))
+
+
+@dataclass(frozen=True)
+class TaskConfig(Closed):
+    target_type: str = "classification"
+    target_columns: tuple[str, ...] | None = None
+    num_classes: int = 2
+    class_weights: str | tuple[float, ...] | None = "auto"
+    loss: str = "mse"
+    huber_delta: float = 1.0
+    cox_regularization: float = 0.0
+    selection: SelectionConfig | None = None
+
+    def __post_init__(self) -> None:
+        _one_of("target_type", self.target_type, ("classification", "regression", "survival"))
+        _one_of("loss", self.loss, ("mse", "huber"))
+        if self.target_type == "survival" and len(self.target_columns or ()) != 2:
+            raise ValueError("survival needs two target columns, time and event")
+        if self.target_type == "regression" and not self.target_columns:
+            raise ValueError("regression needs target columns")
+        chosen = {"classification": ("val/auroc", "max"), "regression": ("val/rmse", "min"), "survival": ("val/c_index", "max")}[self.target_type]
+        given = self.selection
+        if not isinstance(given, SelectionConfig):
+            object.__setattr__(self, "selection", SelectionConfig(*chosen) if given is None else SelectionConfig.from_dict(given))
+
+
+@dataclass(frozen=True)
+class FinetuneConfig(Closed):
+    lr_scales: Mapping[str, float] = field(default_factory=lambda: {"encoder": 1.0, "head": 0.01, "attention": 2.0})
+    head_weight_decay: float | None = 1e-3
+    head_init: str = "probe"
+    hyperbatch_size: int = 12
+    grad_clip_norm: float = 1.0
+    warmup_steps: int = 0
+    schedule_epochs: int | None = None
+    augmentation: FinetuneAugmentation = FinetuneAugmentation()
+    probe: ProbeConfig = ProbeConfig()
+
+    def __post_init__(self) -> None:
+        for name, kind in (("augmentation", FinetuneAugmentation), ("probe", ProbeConfig)):
+            if not isinstance(getattr(self, name), kind):
+                object.__setattr__(self, name, kind.from_dict(getattr(self, name)))
+        if set(self.lr_scales) != {"encoder", "head", "attention"} or any(not isinstance(v, int | float) or v < 0 for v in self.lr_scales.values()):
+            raise ValueError("lr_scales needs a number of 0 or more for encoder, head and attention")
+        _one_of("head_init", self.head_init, ("probe", "random"))
+        if self.hyperbatch_size < 1:
+            raise ValueError("hyperbatch_size must be at least 1")
+
+
+#: Regimes: what each sets differently from the defaults of FinetuneConfig.
+REGIMES: dict[str, dict[str, Any]] = {
+    "finetune": {},
+    "finetune_reg": {"lr_scales": {"encoder": 0.3, "head": 0.01, "attention": 2.0}, "augmentation": {"drop_edge_p": 0.05, "mask_node_p": 0.05}},
+    "mlp_head": {"lr_scales": {"encoder": 1.0, "head": 1.0, "attention": 2.0}, "head_weight_decay": None, "head_init": "random"},
+    "attention_only": {"lr_scales": {"encoder": 0.0, "head": 0.0, "attention": 2.0}},
+}
+
+
+def regime(name: str) -> FinetuneConfig:
+    """The fine-tuning parameters of a regime."""
+    _one_of("regime", name, tuple(REGIMES))
+    return FinetuneConfig.from_dict(REGIMES[name])

@@ -96,6 +96,34 @@ def cox_loss(df: DataFrame, risk: str = "risk", time: str = "time", event: str =
     return out.select((F.when(F.col("d") > 0, F.col("nll") / F.col("d")).otherwise(0.0) + l2 * F.col("r2") / F.col("n")).alias("loss"), F.col("d").cast("long").alias("n_events"))
 
 
+def cross_entropy(frame: DataFrame, classes: int, weights: dict[int, float] | None = None, target: str = "target") -> DataFrame:
+    """One row: the mean over rows of a class's weight (1 without) times the log loss of columns logit_0 on; rows without a target are left out."""
+    logits = F.array(*[F.col(f"logit_{c}").cast("double") for c in range(classes)])
+    top = F.array_max(logits)
+    log_sum = top + F.ln(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    weight = F.element_at(F.array(*[F.lit(float((weights or {}).get(c, 1.0))) for c in range(classes)]), F.col(target).cast("int") + 1)
+    return frame.where(F.col(target).isNotNull()).agg(F.avg(weight * (log_sum - F.element_at(logits, F.col(target).cast("int") + 1))).alias("loss"))
+
+
+def huber(frame: DataFrame, pairs: list[tuple[str, str]], delta: float = 1.0) -> DataFrame:
+    """One row: the Huber loss, a mean over rows and (prediction, target) columns."""
+    if delta <= 0:
+        raise ValueError("delta must be positive")
+    total = F.lit(0.0)
+    for p, t in pairs:
+        gap = F.abs(F.col(p) - F.col(t))
+        total = total + F.when(gap <= delta, 0.5 * gap * gap).otherwise(delta * (gap - 0.5 * delta))
+    return frame.agg((F.avg(total) / len(pairs)).alias("loss"))
+
+
+def check_classes(splits: dict[str, DataFrame], classes: int, label: str = "label") -> None:
+    """An error if a split has a label that is no class 0 to classes - 1; nulls don't count."""
+    for name, df in splits.items():
+        wrong = df.where(F.col(label).isNotNull() & ((F.col(label) < 0) | (F.col(label) >= classes) | (F.col(label) != F.floor(label))))
+        if bad := sorted(r[0] for r in wrong.select(label).distinct().limit(10).collect()):
+            raise ValueError(f"{name}: labels {bad} are outside 0..{classes - 1}")
+
+
 def frame_metrics(frame: DataFrame, kind: str, target: str = "target") -> DataFrame:
     """Metrics of a prediction table by its column names; classes from prob_*, regression from pred or pred_*, survival from risk."""
     if kind == "classification":
