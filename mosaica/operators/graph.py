@@ -75,66 +75,73 @@ def _fanned(x: np.ndarray, y: np.ndarray, tri: np.ndarray) -> np.ndarray:
 def _large_delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Points inserted along a sweep; a triangle whose circle lies behind the sweep is done.
 
+    Open triangles and the hull's sides are arrays, so that a point is tested
+    against all of them at once; they number about the root of the points.
     Beyond each side of the hull lies a triangle with a corner at infinity
     (number -1), which a point is in if it sees that side.
     """
     order = np.lexsort((y, x))
-    px, py = x[order].tolist(), y[order].tolist()
+    px, py = x[order], y[order]
     n = len(px)
-
-    def cross(a: int, b: int, qx: float, qy: float) -> float:
-        return (px[b] - px[a]) * (qy - py[a]) - (py[b] - py[a]) * (qx - px[a])
-
-    k = next((i for i in range(2, n) if cross(0, 1, px[i], py[i]) != 0), None)
-    if k is None:
+    turned = np.flatnonzero((px[1] - px[0]) * (py - py[0]) - (py[1] - py[0]) * (px - px[0]))
+    if not len(turned):
         return np.zeros((0, 2), np.int64)
+    k = int(turned[0])
     mx, my = (px[0] + px[1] + px[k]) / 3, (py[0] + py[1] + py[k]) / 3
 
-    def beyond(a: int, b: int) -> tuple[int, int]:
-        return (a, b) if cross(a, b, mx, my) < 0 else (b, a)
+    def cross(a: np.ndarray, b: np.ndarray, qx: float, qy: float) -> np.ndarray:
+        return (px[b] - px[a]) * (qy - py[a]) - (py[b] - py[a]) * (qx - px[a])
 
-    def circle(i: int, j: int, k: int) -> tuple:
-        bx, by, qx, qy = px[j] - px[i], py[j] - py[i], px[k] - px[i], py[k] - py[i]
+    def circles(tri: np.ndarray) -> np.ndarray:
+        """Centre and squared radius of triangles' circles, a row each."""
+        i, j, m = tri.T
+        bx, by, qx, qy = px[j] - px[i], py[j] - py[i], px[m] - px[i], py[m] - py[i]
         d = 2 * (bx * qy - by * qx)
         ux, uy = (qy * (bx * bx + by * by) - by * (qx * qx + qy * qy)) / d, (bx * (qx * qx + qy * qy) - qx * (bx * bx + by * by)) / d
-        return (i, j, k, px[i] + ux, py[i] + uy, ux * ux + uy * uy)
+        return np.stack([px[i] + ux, py[i] + uy, ux * ux + uy * uy])
+
+    def beyond(side: np.ndarray) -> np.ndarray:
+        """Sides with the inner point to their right."""
+        swap = cross(side[:, 0], side[:, 1], mx, my) >= 0
+        return np.where(swap[:, None], side[:, ::-1], side)
 
-    live, final = [circle(0, 1, k)], []
-    ghosts = {beyond(0, 1), beyond(1, k), beyond(0, k)}
+    tri = np.array([[0, 1, k]])
+    circle = circles(tri)
+    hull = beyond(np.array([[0, 1], [1, k], [0, k]]))
+    final: list[np.ndarray] = []
     for p in [*range(2, k), *range(k + 1, n)]:
         x0, y0 = px[p], py[p]
-        stay, rim = [], {}
-
-        def cut(i: int, j: int, rim: dict = rim) -> None:
-            e = (i, j) if i < j else (j, i)
-            rim[e] = rim.get(e, 0) + 1
-
-        for t in live:
-            dx = x0 - t[3]
-            if dx > 0 and dx * dx > t[5] * (1 + 1e-9):
-                final.append(t)
-            elif dx * dx + (y0 - t[4]) * (y0 - t[4]) < t[5] * (1 - 1e-13):
-                cut(t[0], t[1])
-                cut(t[1], t[2])
-                cut(t[0], t[2])
-            else:
-                stay.append(t)
-        for a, b in list(ghosts):
-            c = cross(a, b, x0, y0)
-            if c > 0 or c == 0 and min(px[a], px[b]) <= x0 <= max(px[a], px[b]) and min(py[a], py[b]) <= y0 <= max(py[a], py[b]):
-                ghosts.discard((a, b))
-                cut(a, b)
-                cut(-1, a)
-                cut(-1, b)
-        for (i, j), seen in rim.items():
-            if seen == 1:
-                if i < 0:
-                    ghosts.add(beyond(j, p))
-                elif cross(i, j, x0, y0) != 0:
-                    stay.append(circle(i, j, p))
-        live = stay
-    tri = order[np.array([t[:3] for t in final + live], np.int64).reshape(-1, 3)]
-    return _fanned(x, y, tri)
+        dx = x0 - circle[0]
+        dx2, r2 = dx * dx, circle[2]
+        done = (dx > 0) & (dx2 > r2 * (1 + 1e-9))
+        dy = y0 - circle[1]
+        hit = (dx2 + dy * dy < r2 * (1 - 1e-13)) & ~done
+        a, b = hull.T
+        c = cross(a, b, x0, y0)
+        seen = c > 0
+        flat = np.flatnonzero(c == 0)
+        for g in flat.tolist():
+            u, v = hull[g]
+            seen[g] = min(px[u], px[v]) <= x0 <= max(px[u], px[v]) and min(py[u], py[v]) <= y0 <= max(py[u], py[v])
+        rim: dict[tuple[int, int], int] = {}
+        for i, j, m in tri[hit].tolist():
+            for e in ((i, j), (j, m), (i, m)):
+                e = e if e[0] < e[1] else (e[1], e[0])
+                rim[e] = rim.get(e, 0) + 1
+        for i, j in hull[seen].tolist():
+            for e in ((i, j) if i < j else (j, i), (-1, i), (-1, j)):
+                rim[e] = rim.get(e, 0) + 1
+        once = [e for e, times in rim.items() if times == 1]
+        inner = np.array([e for e in once if e[0] >= 0], np.int64).reshape(-1, 2)
+        new = np.column_stack([inner, np.full(len(inner), p)])[cross(inner[:, 0], inner[:, 1], x0, y0) != 0]
+        if done.any():
+            final.append(tri[done])
+        stay = ~(done | hit)
+        tri, circle = np.concatenate([tri[stay], new]), np.concatenate([circle[:, stay], circles(new)], axis=1)
+        outer = [j for i, j in once if i < 0]
+        if seen.any() or outer:
+            hull = np.concatenate([hull[~seen], beyond(np.array([[j, p] for j in outer], np.int64).reshape(-1, 2))])
+    return _fanned(x, y, order[np.concatenate([*final, tri])])
 
 
 def _triples(n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006
