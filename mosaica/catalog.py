@@ -608,6 +608,30 @@ def clr_shares(spark, d):
     return rounded(stats.centred_log_ratio(testing.patient_means(s, "name", value="share"), "patient_id").select("patient_id", "name", "clr"))
 
 
+# ---- large units: no SQL, whose triangles and pairs grow with the cube and square of a unit; tests hold them to invariants ----
+
+
+@query()
+def large_delaunay(spark, d):
+    return graph.delaunay_edges(fixture.large_cells(spark, d)).groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+@query()
+def large_cross_l(spark, d):
+    return rounded(stats.cross_l(fixture.large_cells(spark, d), [5.0, 10.0, 20.0]))
+
+
+@query()
+def large_windows(spark, d):
+    return rounded(stats.window_composition(fixture.large_cells(spark, d), 10).groupBy("unit_id", "t").agg(F.avg("share").alias("share")))
+
+
+@query()
+def large_interior(spark, d):
+    c = fixture.large_cells(spark, d)
+    return graph.interior_cells(c, _edges(c), 4).groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
 # ---- tests ---------------------------------------------------------------------------------------------------------
 
 _PM = f"{_GRAPH}{_MOR}, pv AS (SELECT split_part(unit_id, '_', 1) AS patient_id, t AS metric, avg(i) AS value FROM mi GROUP BY ALL)"

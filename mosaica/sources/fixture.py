@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mosaica.functions.scalars import hash_uniform
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -112,3 +114,19 @@ oc AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k,
                avg(o_totalprice) OVER (PARTITION BY o_custkey) AS mean_price, min(o_orderdate) OVER () AS start FROM orders)
   WHERE k = 1)"""
+
+
+def large_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of seven large units, the lines of orders by line number, spread evenly at one cell for 100 square units of area: 10^4 to 10^5 cells a unit at sf0.1."""
+    lines = table(spark, sf_dir, "lineitem")
+    sizes = lines.groupBy("l_linenumber").agg((F.sqrt(F.count(F.lit(1)).cast("double")) * 10).alias("side"))
+    key = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    at = lambda axis: F.round(hash_uniform(F.lit(axis), *key) * F.col("side"), 6)
+    return lines.join(F.broadcast(sizes), "l_linenumber").select(
+        F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("unit_id"),
+        F.xxhash64(*key).alias("cell_id"),
+        F.concat(F.lit("t"), (F.col("l_partkey") % 5).cast("string")).alias("cell_type"),
+        at("x").alias("x"),
+        at("y").alias("y"),
+        F.col("l_quantity").cast("double").alias("feature"),
+    )
