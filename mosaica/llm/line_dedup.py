@@ -50,17 +50,10 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     lost = seen.join(often, ["h1", "h2"]).where("id <> keep")
     lost = lost.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    runs = F.aggregate(
-        "at",
-        F.struct(F.lit(-1).alias("last"), F.array().cast("array<int>").alias("runs")),
-        lambda acc, p: F.struct(
-            p.alias("last"),
-            F.when((acc["last"] == p - 1) & (F.size(acc["runs"]) > 0), F.concat(F.slice(acc["runs"], 1, F.size(acc["runs"]) - 1), F.array(F.element_at(acc["runs"], -1) + 1)))
-            .otherwise(F.concat(acc["runs"], F.array(p - acc["last"] - 1, F.lit(1))))
-            .alias("runs"),
-        ),
-        lambda acc: acc["runs"],
-    )
+    # a run of dropped lines opens where the line before isn't dropped and closes where the next one isn't
+    lost = lost.withColumn("opens", F.filter("at", lambda p, i: ~F.coalesce(F.get("at", i - 1) == p - 1, F.lit(False))))
+    lost = lost.withColumn("closes", F.filter("at", lambda p, i: ~F.coalesce(F.get("at", i + 1) == p + 1, F.lit(False))))
+    runs = F.flatten(F.transform("opens", lambda p, i: F.array(p - F.coalesce(F.get("closes", i - 1) + 1, F.lit(0)), F.get("closes", i) - p + 1)))
     return lost.select(F.col("id").alias(id_col), "text_hash", F.size("at").cast("long").alias("n_dropped"), runs.alias("keep_runs"))
 
 
