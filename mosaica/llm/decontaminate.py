@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -96,8 +97,7 @@ class Index:
         """Which words of a document are hit (None: no word), and the items that occur."""
         if self.empty or not found:
             return None, set()
-        code = self.codes.get
-        ids = tuple([code(w, 0) for w in found])
+        ids = tuple(map(self.codes.get, found, repeat(0)))
         ends = list(self.machine.iter(ids))
         if not ends:
             return None, set()
