@@ -552,3 +552,23 @@ def test_candidates_recall_pairs_near_the_threshold(spark):
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(docs(spark, rows), shingle=2).collect()}
     linked = {i for i, (_, c) in want.items() if c != i}
     assert len(linked) > 30 and {i for i in linked if got[i] != want[i]} == set() and got == want
+
+
+def test_pairs_are_found_among_many_half_alike_documents(spark):
+    """A cloud of documents that share their greater part, below half by shingles, with lower ids than the pairs: hubs of all buckets are of the cloud."""
+    r = np.random.default_rng(2)
+    common = [f"c{i}" for i in range(110)]
+    own = lambda k, n: [f"o{k}x{i}" for i in range(n)]
+    rows = [(k, " ".join(common + own(k, 80))) for k in range(700)]
+    for k in range(30):
+        words = common + own(10_000 + k, 80)
+        other = list(words)
+        for at in r.choice(len(words), 9, replace=False):
+            other[at] = f"z{k}"
+        rows += [(1_000 + 2 * k, " ".join(words)), (1_001 + 2 * k, " ".join(other))]
+    sets = {i: {tuple(t.split()[k : k + 2]) for k in range(len(t.split()) - 1)} for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.3 < alike(0, 1) < 0.5 and alike(3, 1_000) < 0.5
+    want = {1_001 + 2 * k for k in range(30) if alike(1_000 + 2 * k, 1_001 + 2 * k) >= 0.8}
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(docs(spark, rows), shingle=2).collect()}
+    assert len(want) > 20 and {i for i, c in got.items() if c != i} == want
