@@ -33,7 +33,7 @@ FINER, DEPTH = 8, 4
 #: Documents in a block of a candidate group.
 BLOCK = 256
 #: Characters that are hashed at once.
-CHARS = 2_000_000
+CHARS = 500_000
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b" \t\n\r\x0b\x0c" else b for b in range(256))
 _U = np.uint64
