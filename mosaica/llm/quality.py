@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def encode(batches):
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            for a, b in slices(texts, 1_000_000):
+            for a, b in slices(texts, 500_000):
                 x, count = passages(texts[a:b])
                 ends = np.cumsum(count)
                 picked = [x[e - n + (np.arange(min(n, most)) * n // min(n, most))] for e, n in zip(ends.tolist(), count.tolist(), strict=True)]
@@ -188,7 +188,7 @@ def score_column(spark: SparkSession, model: dict | float, text: str | Column) -
             texts = [t if isinstance(t, str) else "" for t in column]
             out = np.full(len(texts), p if isinstance(p, float) else 0.0)
             if not isinstance(p, float):
-                for a, b in slices(texts, 1_000_000):
+                for a, b in slices(texts, 500_000):
                     out[a:b] = score_bags(*passages(texts[a:b]), p)
             yield pd.Series(out)
 
