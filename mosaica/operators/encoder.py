@@ -54,6 +54,13 @@ def gated_attention(h: np.ndarray, w: dict) -> tuple[np.ndarray, np.ndarray]:
     return (np.tanh(space) * gate) @ w["c"] + w["c_b"], space
 
 
+def instance_logits(z: np.ndarray, w: dict) -> np.ndarray:
+    """A linear head (`head`, `head_b`), after hidden layers with leaky units if there are any (`hidden`: pairs of weights and bias)."""
+    for weight, bias in w.get("hidden", ()):
+        z = _act(z @ weight + bias, "leaky_relu")
+    return z @ w["head"] + w["head_b"]
+
+
 class Graph:
     """A unit's graph as sorted lists of neighbours: `edge[first[v] : first[v + 1]]` are the rows of v's edges, `to` their other ends."""
 
@@ -163,7 +170,7 @@ def score_cells(cells: DataFrame, edges: DataFrame, weights: dict, features: tup
                     z = (np.maximum if readout == "max" else np.add).reduceat(h, starts, axis=0)
                     if readout == "mean":
                         z = z / np.diff(np.append(starts, len(root)))[:, None]
-                    logits = z @ w["head"] + w["head_b"]
+                    logits = instance_logits(z, w)
                     att, space = gated_attention(z, w["attention"])
                     yield pd.DataFrame({"unit_id": unit, "cell_id": [ids[i] for i in some], "embedding": list(z.astype(np.float32)), "attention_space": list(space.astype(np.float32)), "instance_logits": list(logits), "attention_logits": list(att)})
 

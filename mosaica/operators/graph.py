@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaica.config import FinetuneAugmentation, PretrainViews, SamplerConfig
+from mosaica.config import FinetuneAugmentation, GraphConfig, PretrainViews, SamplerConfig
 from mosaica.functions.scalars import distance, hash_uniform, log_distance
 from mosaica.plans.groups import map_groups
 
@@ -205,6 +205,13 @@ def edge_features(edges: DataFrame, cells: DataFrame, low: float = 2.0, high: fl
     return e.select("unit_id", "src", "dst", "distance", log_distance("distance", low, high).alias("log_distance"), (F.col("distance") <= cutoff).cast("double").alias("neighbor"))
 
 
+def configured_features(edges: DataFrame, cells: DataFrame, cfg: GraphConfig = GraphConfig()) -> DataFrame:  # noqa: B008
+    """(unit_id, src, dst, features): the configured edge features in their order, as an array."""
+    low, high = cfg.log_distance_bounds
+    e = edge_features(edges, cells, low, high, cfg.neighbor_cutoff)
+    return e.select("unit_id", "src", "dst", F.array(*[F.col(f) for f in cfg.edge_features]).cast("array<double>").alias("features"))
+
+
 def short_edges(edges: DataFrame, cells: DataFrame, longest: float | None) -> DataFrame:
     """Edges up to a length; all where there is no limit."""
     if longest is None:

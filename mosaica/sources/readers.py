@@ -241,6 +241,16 @@ def resolve_models(summary: DataFrame, oof: DataFrame) -> DataFrame:
     return out
 
 
+def named_models(spark: SparkSession, checkpoints: dict[str, str], held_out: dict[str, list[str]] | None = None) -> DataFrame:
+    """(model, checkpoint, held_out) of models named by hand; none is an error, and so are held-out units of a model that isn't named."""
+    if not checkpoints:
+        raise ValueError("no models")
+    if lost := sorted(set(held_out or {}) - set(checkpoints)):
+        raise ValueError(f"held-out units of models that have no checkpoint: {lost}")
+    rows = [(m, c, sorted(set((held_out or {}).get(m, [])))) for m, c in sorted(checkpoints.items())]
+    return spark.createDataFrame(rows, "model string, checkpoint string, held_out array<string>")
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The unit index of a processed cohort; another version is an error."""
     df = spark.read.parquet(path)
