@@ -5,10 +5,7 @@ least hash of a bin is its value, and empty bins borrow from others by a second
 hash (optimal densification). Bands of bins make buckets. Each bucket gives
 star-shaped edges to its least document only, so the number of edges is bounded
 by documents times bands. Edges whose signatures agree in fewer than half of
-the bins go, and documents that a bucket's hub is no match for are dealt into
-finer buckets, by a further band, with hubs of their own: so a pair is found
-however many half-alike documents share its buckets. What remains connects
-groups of candidates. Within a group links
+the bins go. What remains connects groups of candidates. Within a group links
 are confirmed on full shingle sets: large groups against a hub first, and what
 is not linked to it against all, block against block; only a spanning forest of
 the links found leaves a block. Identical sets are joined before, so that copies
@@ -26,10 +23,9 @@ from mosaica.llm.common import components, settle
 
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
-#: Bins in which a document agrees with its hub to be kept with it. Linked documents agree in four of five, but for chance.
+#: Bins in which a document agrees with its bucket's hub to be grouped with it. Linked documents agree in four of five, but for chance;
+#: a pair is missed only if in every bucket that it shares the least document is one with which either of the two agrees in fewer.
 AGREE = BINS // 2
-#: Further bands by which those that don't agree are dealt anew, and how often: each time a half-alike document stays with a pair in one of 64 cases at most.
-FINER, DEPTH = 8, 4
 #: Documents in a block of a candidate group.
 BLOCK = 256
 #: Characters that are hashed at once.
@@ -366,46 +362,6 @@ def verify(members: DataFrame, docs: DataFrame, sig: DataFrame, size: int, perce
     return out.union(_compare(of_rest.unionByName(of_all), percent))
 
 
-def _candidates(alone: DataFrame) -> DataFrame:
-    """Edges (a, b) from documents (id, sig, bands) to hubs that they agree with.
-
-    A bucket's hub is its least document. Those of a bucket that don't agree
-    with it are dealt by its band and one of FINER further ones, and so on: a
-    pair of similarity 0.8 that shares a bucket shares some of the finer ones
-    too, while others leave. It ends when no finer bucket has two documents, or
-    after DEPTH times, when the chance of meeting half-alike documents there is
-    below 1e-7 each.
-    """
-
-    def judge(batches):
-        for pdf in batches:
-            if len(pdf):
-                x = np.frombuffer(b"".join(pdf["x"]), np.uint8).reshape(-1, BINS) == np.frombuffer(b"".join(pdf["y"]), np.uint8).reshape(-1, BINS)
-                yield pdf[["a", "b"]].assign(ok=x.sum(1) >= AGREE)
-
-    sig = alone.select("id", "sig")
-    rows = alone.select("id", F.posexplode("bands").alias("pos", "bucket"))
-    out = None
-    for depth in range(DEPTH + 1):
-        hubs = settle(rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub < most").drop("most"))
-        if out is not None and hubs.isEmpty():
-            break
-        stars = settle(rows.join(hubs, "bucket").where("id <> hub"))
-        sided = stars.select("id", "hub").distinct().join(sig, "id").select(F.col("id").alias("a"), "hub", F.col("sig").alias("x"))
-        sided = sided.join(sig.withColumnRenamed("id", "hub"), "hub").select("a", F.col("hub").alias("b"), "x", F.col("sig").alias("y"))
-        judged = settle(sided.mapInPandas(judge, "a long, b long, ok boolean"))
-        found = judged.where("ok").select("a", "b")
-        out = found if out is None else out.union(found)
-        if depth == DEPTH:
-            break
-        left = judged.where("not ok").select(F.col("a").alias("id"), F.col("b").alias("hub"))
-        rest = stars.join(left, ["id", "hub"]).select("id", "pos", "bucket").join(alone.select("id", "bands"), "id")
-        at = lambda k: F.pmod(F.col("pos") + k, F.lit(BANDS)).cast("int")
-        finer = F.transform(F.sequence(F.lit(1), F.lit(FINER)), lambda k: F.struct(at(k).alias("pos"), F.xxhash64("bucket", F.get("bands", at(k))).alias("bucket")))
-        rows = rest.select("id", F.explode(finer).alias("f")).select("id", "f.pos", "f.bucket")
-    return out
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per id: (id, n_shingles, component_id, kept).
 
@@ -426,10 +382,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = settle(full.select("id", "s1", "s2", "n_shingles").join(same, ["s1", "s2", "n_shingles"]).select(F.col("id").alias("a"), F.col("first").alias("b")).where("a <> b").distinct())
     alone = settle(full.join(copies.select(F.col("a").alias("id")), "id", "left_anti").select("id", "sig", "bands"))
 
-    groups = components(_candidates(alone))
+    rows = alone.select("id", F.explode("bands").alias("bucket"))
+    hubs = settle(rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub < most").drop("most"))
+    stars = settle(rows.join(hubs, "bucket").where("id <> hub").select("id", "hub").distinct())
+
+    def agreeing(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.frombuffer(b"".join(pdf["x"]), np.uint8).reshape(-1, BINS) == np.frombuffer(b"".join(pdf["y"]), np.uint8).reshape(-1, BINS)
+                yield pdf.loc[x.sum(1) >= AGREE, ["a", "b"]]
+
+    sig = alone.select("id", "sig")
+    sided = stars.join(sig, "id").select(F.col("id").alias("a"), "hub", F.col("sig").alias("x"))
+    sided = sided.join(sig.withColumnRenamed("id", "hub"), "hub").select("a", F.col("hub").alias("b"), "x", F.col("sig").alias("y"))
+    groups = components(sided.mapInPandas(agreeing, "a long, b long"))
     members = settle(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")))
 
-    linked = verify(members, base, alone.select("id", "sig"), shingle, percent)
+    linked = verify(members, base, sig, shingle, percent)
     parts = settle(components(linked.union(copies)))
     out = seen.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")).join(parts.withColumnRenamed("node", "id"), "id", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
