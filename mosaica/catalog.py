@@ -435,6 +435,11 @@ def loader_sizes(spark, d):
     return graph.loader_sizes(_cells(spark, d), 12, 5)
 
 
+@query(f"WITH {CELLS_SQL}, n AS (SELECT unit_id, least(count(*), 12) AS n_roots FROM cells GROUP BY unit_id) SELECT CAST(sum(n_roots) AS BIGINT) AS n_roots, CAST(ceil(sum(n_roots) / 5e0) AS BIGINT) AS n_batches FROM n")
+def loader_sizes_merged(spark, d):
+    return graph.loader_sizes(_cells(spark, d), 12, 5, merged=True)
+
+
 @query(f"WITH {EDGES_SQL} SELECT unit_id, src, dst FROM edges WHERE {_u('9', 'unit_id', 'src', 'dst')} >= 1 - (1 - 0.2e0) * (1 - 0.2e0)")
 def drop_edges_hash(spark, d):
     return graph.drop_edges(_edges(_cells(spark, d)), 0.2, 9)

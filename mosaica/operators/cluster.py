@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaica.config import ReducerConfig
 from mosaica.functions.scalars import l2_normalised
 
 
@@ -49,6 +50,25 @@ def pca_transform(df: DataFrame, model: tuple[np.ndarray, np.ndarray], space: st
     return base.withColumn(out, F.array(*rows)).drop("__c")
 
 
+def reduced(df: DataFrame, cfg: ReducerConfig, train: DataFrame | None = None, state: tuple[np.ndarray, np.ndarray] | None = None, space: str = "space") -> tuple[DataFrame, tuple[np.ndarray, np.ndarray] | None]:
+    """(`df` with its vectors as the configuration has them, what they were projected with).
+
+    A given state, as of an earlier cohort (`state_from`), is used as it is;
+    else the projection is fitted on all rows, or on `train` if so configured.
+    """
+    if cfg.name == "identity":
+        return df, None
+    if state is None:
+        if cfg.state_from is not None:
+            raise ValueError(f"the state of {cfg.state_from} must be read and given")
+        if cfg.fit_on == "train" and train is None:
+            raise ValueError("a fit on training rows needs them")
+        state = pca_fit(train if cfg.fit_on == "train" else df, cfg.n_components, space)
+    if len(state[1]) != cfg.n_components:
+        raise ValueError(f"the state has {len(state[1])} components, not {cfg.n_components}")
+    return pca_transform(df, state, space, space), state
+
+
 def kmeans_fit(df: DataFrame, k: int, seed: int = 0, space: str = "space", cosine: bool = True) -> np.ndarray:
     """Centres [k, d] by Spark's k-means (k-means|| start), of unit vectors with `cosine`; in a fixed order."""
     v = l2_normalised(space) if cosine else F.transform(space, lambda x: x.cast("double"))

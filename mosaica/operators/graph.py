@@ -500,11 +500,13 @@ def unit_roots(cells: DataFrame, cfg: SamplerConfig, edges: DataFrame | None = N
     return root_sample(inverse_frequency(pool, cfg.root_weighting == "sqrt_inverse"), cfg.roots_per_unit, seed, F.col("weight"))
 
 
-def loader_sizes(cells: DataFrame, roots: int | None, batch: int) -> DataFrame:
-    """Per unit the roots drawn and the batches they make: (unit_id, n_roots, n_batches)."""
+def loader_sizes(cells: DataFrame, roots: int | None, batch: int, merged: bool = False) -> DataFrame:
+    """Per unit the roots drawn and the batches they make: (unit_id, n_roots, n_batches); with `merged`, the roots of all units make one row of batches: (n_roots, n_batches)."""
     n = cells.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n"))
-    n = n.withColumn("n_roots", F.col("n") if roots is None else F.least("n", F.lit(roots).cast("long")))
-    return n.where("n_roots > 0").select("unit_id", "n_roots", F.ceil(F.col("n_roots") / batch).alias("n_batches"))
+    n = n.withColumn("n_roots", F.col("n") if roots is None else F.least("n", F.lit(roots).cast("long"))).where("n_roots > 0")
+    if merged:
+        return n.agg(F.coalesce(F.sum("n_roots"), F.lit(0)).alias("n_roots")).withColumn("n_batches", F.ceil(F.col("n_roots") / batch))
+    return n.select("unit_id", "n_roots", F.ceil(F.col("n_roots") / batch).alias("n_batches"))
 
 
 def pretrain_view(cells: DataFrame, edges: DataFrame, cfg: PretrainViews, seed: int, features: tuple[str, ...] = ("feature",)) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,37 +43,38 @@ def grid_tiles(cells: DataFrame, size: float, stride: float | None = None, regio
     return out.withColumn("tile_id", F.concat(F.col(region), F.lit("_tile"), F.lpad(number.cast("string"), 3, "0"))).drop("__x0", "__y0", "__x1", "__y1")
 
 
-def _inside(x, y, rings: list) -> bool:
+def _inside(x: Column, y: Column, sides: Column) -> Column:
     """Strictly inside by the even-odd rule; a point on a side is outside."""
-    hit = False
-    for ring in rings:
-        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
-            cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
-            if cross == 0 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
-                return False
-            if (ay > y) != (by > y) and (cross > 0) == (by > ay):
-                hit = not hit
-    return hit
+
+    def meet(state: Column, s: Column) -> Column:
+        cross = (s["bx"] - s["ax"]) * (y - s["ay"]) - (s["by"] - s["ay"]) * (x - s["ax"])
+        on = (cross == 0) & x.between(F.least(s["ax"], s["bx"]), F.greatest(s["ax"], s["bx"])) & y.between(F.least(s["ay"], s["by"]), F.greatest(s["ay"], s["by"]))
+        passes = ((s["ay"] > y) != (s["by"] > y)) & ((cross > 0) == (s["by"] > s["ay"]))
+        return F.struct((state["on"] | on).alias("on"), (state["hit"] != passes).alias("hit"))
+
+    none = F.struct(F.lit(False).alias("on"), F.lit(False).alias("hit"))
+    return F.aggregate(sides, none, meet, lambda s: ~s["on"] & s["hit"])
 
 
 def polygon_members(cells: DataFrame, polygons: DataFrame, region: str = "region_id") -> DataFrame:
     """Cells strictly inside each polygon: (region, polygon_id `<region>_polygon%03d`, cells' columns).
 
     `polygons`: (region, number, rings array<array<struct<x, y>>>); numbers
-    follow the order of the file and stay, whatever cells are in. A box filter
-    comes before the exact test.
+    follow the order of the file and stay, whatever cells are in. Sides are
+    made once for each polygon; a box filter comes before the exact test.
     """
     flat = F.flatten("rings")
     xs, ys = F.transform(flat, lambda q: q["x"]), F.transform(flat, lambda q: q["y"])
-    p = polygons.withColumn("__b", F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1")))
 
-    @F.pandas_udf("boolean")
-    def inside(x: pd.Series, y: pd.Series, rings: pd.Series) -> pd.Series:
-        return pd.Series([_inside(a, b, [[(q["x"], q["y"]) for q in r] for r in rs]) for a, b, rs in zip(x, y, rings, strict=True)], dtype=bool)
+    def ring_sides(ring: Column) -> Column:
+        after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+        return F.zip_with(ring, after, lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
 
-    near = cells.join(p, region).where("x > __b.x0 and x < __b.x1 and y > __b.y0 and y < __b.y1")
-    out = near.where(inside("x", "y", "rings"))
-    return out.withColumn("polygon_id", F.concat(F.col(region), F.lit("_polygon"), F.lpad(F.col("number").cast("string"), 3, "0"))).drop("__b", "rings", "number")
+    p = polygons.withColumn("__b", F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1")))
+    p = p.withColumn("__sides", F.flatten(F.transform("rings", ring_sides)))
+    near = cells.join(p.drop("rings"), region).where("x > __b.x0 and x < __b.x1 and y > __b.y0 and y < __b.y1")
+    out = near.where(_inside(F.col("x").cast("double"), F.col("y").cast("double"), F.col("__sides")))
+    return out.withColumn("polygon_id", F.concat(F.col(region), F.lit("_polygon"), F.lpad(F.col("number").cast("string"), 3, "0"))).drop("__b", "__sides", "number")
 
 
 def inside_any(cells: DataFrame, polygons: DataFrame, region: str = "region_id") -> DataFrame:

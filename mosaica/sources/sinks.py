@@ -63,10 +63,14 @@ def report(niches: DataFrame, moran: DataFrame | None = None, cox: DataFrame | N
 
 
 def write_predictions(frame: DataFrame, path: str, kind: str, n_units: int | None = None) -> DataFrame | None:
-    """Write a prediction table; metrics only if every unit has a target."""
+    """Write a prediction table and, if every unit has a target, its metrics, which are returned."""
     write_table(frame, f"{path}/predictions", "csv")
     labelled = frame.where(F.col("target").isNotNull()).count() if "target" in frame.columns else 0
-    return frame_metrics(frame, kind) if labelled and labelled == (n_units or frame.count()) else None
+    if not labelled or labelled != (n_units or frame.count()):
+        return None
+    found = frame_metrics(frame, kind)
+    write_table(found, f"{path}/metrics", "json")
+    return found
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:

@@ -78,3 +78,21 @@ def test_metric_edges(spark):
     assert w[1] == pytest.approx(2 * w[0]) and sum(w.values()) == pytest.approx(3)
     with pytest.raises(ValueError):
         metrics.output_dim("classification", 1)
+
+
+def test_reducers(spark):
+    from mosaica import config
+    from mosaica.operators import cluster
+
+    r = np.random.default_rng(4)
+    d = spark.createDataFrame([(i, (r.normal(size=3) * [9, 1, 0.1]).tolist()) for i in range(50)], "cell_id long, space array<double>")
+    same, none = cluster.reduced(d, config.ReducerConfig())
+    assert none is None and same.columns == d.columns
+    cfg = config.ReducerConfig("pca", 2, "train")
+    out, state = cluster.reduced(d, cfg, train=d.where("cell_id < 40"))
+    assert len(out.first().space) == 2 and abs(state[1][0][0]) > 0.9
+    again, _ = cluster.reduced(d, config.ReducerConfig("pca", 2, state_from="x"), state=state)
+    assert again.collect() == out.collect()
+    for bad in (lambda: cluster.reduced(d, cfg), lambda: cluster.reduced(d, config.ReducerConfig("pca", 3), state=state), lambda: cluster.reduced(d, config.ReducerConfig("pca", 2, state_from="x"))):
+        with pytest.raises(ValueError):
+            bad()
