@@ -171,19 +171,22 @@ def hits_column(spark: SparkSession, text: str | Column, items: DataFrame, item_
     @F.pandas_udf(RESULT)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in batches:
-            split = [words(text) if isinstance(text, str) else [] for text in column]
-            masks: list[np.ndarray | None] = [None] * len(split)
-            items: list[set[str]] = [set() for _ in split]
+            texts = [text if isinstance(text, str) else None for text in column]
+            sizes: list[int] = [0] * len(texts)
+            masks: list[np.ndarray | None] = [None] * len(texts)
+            items: list[set[str]] = [set() for _ in texts]
             for index in indexes(token, shared.value, window):
-                for k, w in enumerate(split):
+                for k, text in enumerate(texts):  # words of one text at a time: those of a batch would be most of a worker's memory
+                    w = words(text)
+                    sizes[k] = len(w)
                     hit, own = index.scan(w)
                     if hit is not None:
                         masks[k] = hit if masks[k] is None else masks[k] | hit
                         items[k] |= own
             rows = []
-            for text, w, mask, own in zip(column, split, masks, items, strict=True):
+            for text, n, mask, own in zip(texts, sizes, masks, items, strict=True):
                 at = [] if mask is None else [{"start": a, "end": b} for a, b in spans(text, mask)]
-                rows.append((len(w), 0 if mask is None else int(mask.sum()), sorted(own), at))
+                rows.append((n, 0 if mask is None else int(mask.sum()), sorted(own), at))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "item_ids", "hit_spans"])
 
     return found(text)
