@@ -70,3 +70,31 @@ def test_files_are_ordered_by_number(spark, tmp_path):
     spark.createDataFrame(rows[::-1], token_records.INDEX).write.parquet(f"{tmp_path}/index")
     got = {r.doc_id: r.start for r in token_records.positions(spark, str(tmp_path)).collect()}
     assert got == {k: 2 * k for k in range(len(names))}
+
+
+def test_long_texts_are_cut_between_words():
+    from mosaica.llm import bpe, pool
+
+    r = random.Random(9)
+    letters = [*"abcdefgh", *"    ", "\n", "'s", "'", " \n ", "12", ".", "é", "\t", "\x85"]
+    byte, word = bpe.load(vocabulary(BYTE_BPE)), token_records.load(vocabulary(WORD_BPE))
+    for _ in range(40):
+        text = "".join(r.choices(letters, k=400))
+        parts = list(pool.sections(text, 40))
+        assert "".join(parts) == text and len(parts) > 2
+        for encode in (byte.encode_batch, word.encode):
+            assert np.concatenate(encode(parts)).tolist() == encode([text])[0].tolist()
+    assert list(pool.sections("x" * 500 + "  " + "y" * 10, 40)) == ["x" * 500 + "  " + "y" * 10]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    """With all hashes equal every word is known by its bytes."""
+    from mosaica.llm import pool
+
+    texts = ["one two three two one", "three four", "éa é a", ""]
+    want = library(texts)
+    monkeypatch.setattr(pool, "mix", lambda x: x * np.uint64(0))
+    own = token_records.WordEncoder(vocabulary(WORD_BPE))
+    for _ in range(2):
+        assert [g.tolist() for g in own.encode(texts)] == want
+    assert len(own.words.hash) == 1
