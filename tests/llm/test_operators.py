@@ -81,16 +81,28 @@ def brute_near(texts, size, percent):
         w = "".join(c.lower() if c.isascii() else c for c in t or "").translate({9: 32, 10: 32, 11: 32, 12: 32, 13: 32}).split(" ")
         w = [x for x in w if x]
         sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
-    comp = {i: i for i in sets}
-    for _ in sets:
-        for i in sets:
-            for j in sets:
-                both = len(sets[i] & sets[j])
-                if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    comp[i] = comp[j] = min(comp[i], comp[j])
+    pairs = []
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j]) if i < j else 0
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                pairs.append((i, j))
+    comp = least_reachable(sets, pairs)
     return {i: (len(s), comp[i]) for i, s in sets.items()}
 
 
+def least_reachable(nodes, pairs):
+    comp = {i: i for i in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            if comp[i] != comp[j]:
+                comp[i] = comp[j] = min(comp[i], comp[j])
+                changed = True
+    return comp
+
+
 def near_copies(seed=0, base=3, copies=12, words=90):
     r = np.random.default_rng(seed)
     vocab = [f"w{i}" for i in range(400)]
@@ -325,14 +337,13 @@ def test_quality_and_language_on_held_out_rows(spark, data):
 
 def brute_vectors(rows, cosine):
     good = {i: np.array(v, float) for i, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)}
-    n, comp = dict.fromkeys([i for i, _ in rows], 0), {i: i for i, _ in rows}
-    for _ in range(len(rows)):
-        n = dict.fromkeys(n, 0)
-        for i, a in good.items():
-            for j, b in good.items():
-                if i != j and len(a) == len(b) and a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) >= cosine:
-                    n[i] += 1
-                    comp[i] = comp[j] = min(comp[i], comp[j])
+    n, pairs = dict.fromkeys([i for i, _ in rows], 0), []
+    for i, a in good.items():
+        for j, b in good.items():
+            if i != j and len(a) == len(b) and a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) >= cosine:
+                n[i] += 1
+                pairs.append((i, j))
+    comp = least_reachable(n, pairs)
     return {i: (n[i], comp[i]) for i in n}
 
 
