@@ -16,11 +16,11 @@ def min_cells(cells: DataFrame, least: int, unit: str = "unit_id") -> DataFrame:
     return cells.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(unit))).where(F.col("__n") >= least).drop("__n")
 
 
-def _steps(v: str, low: Column, size: float, stride: float, last: Column) -> Column:
-    """Indices i with low + i * stride <= v < low + i * stride + size, from 0 to `last`."""
-    at = (F.col(v) - low) / stride
-    start = F.greatest(F.floor((F.col(v) - low - size) / stride), F.lit(0))
-    return F.filter(F.sequence(start, F.greatest(F.least(F.floor(at), last), start)), lambda i: (low + i * stride <= F.col(v)) & (F.col(v) < low + i * stride + size) & (i <= last))
+def _steps(v: str, low: Column, size: float, stride: float) -> Column:
+    """Indices i >= 0 with low + i * stride <= v < low + i * stride + size. Quotients may round to the other side of a whole number, so an index more is tried at either end; the comparisons decide."""
+    start = F.greatest(F.floor((F.col(v) - low - size) / stride) - 1, F.lit(0))
+    stop = F.greatest(F.floor((F.col(v) - low) / stride) + 1, start)
+    return F.filter(F.sequence(start, stop), lambda i: (low + i * stride <= F.col(v)) & (F.col(v) < low + i * stride + size))
 
 
 def grid_tiles(cells: DataFrame, size: float, stride: float | None = None, region: str = "region_id") -> DataFrame:
@@ -33,14 +33,12 @@ def grid_tiles(cells: DataFrame, size: float, stride: float | None = None, regio
     """
     stride = stride or size
     w = Window.partitionBy(region)
-    box = cells.withColumn("__x0", F.min("x").over(w)).withColumn("__y0", F.min("y").over(w)).withColumn("__x1", F.max("x").over(w)).withColumn("__y1", F.max("y").over(w))
+    box = cells.withColumn("__x0", F.min("x").over(w)).withColumn("__y0", F.min("y").over(w))
     out = box
     for v, i in (("x", "ix"), ("y", "iy")):
-        # starts go on while they are below the far side plus a stride
-        last = F.ceil((F.col(f"__{v}1") + stride - F.col(f"__{v}0")) / stride) - 1
-        out = out.withColumn(i, F.explode(_steps(v, F.col(f"__{v}0"), size, stride, last)))
+        out = out.withColumn(i, F.explode(_steps(v, F.col(f"__{v}0"), size, stride)))
     number = F.dense_rank().over(w.orderBy("ix", "iy")) - 1
-    return out.withColumn("tile_id", F.concat(F.col(region), F.lit("_tile"), F.lpad(number.cast("string"), 3, "0"))).drop("__x0", "__y0", "__x1", "__y1")
+    return out.withColumn("tile_id", F.concat(F.col(region), F.lit("_tile"), F.lpad(number.cast("string"), 3, "0"))).drop("__x0", "__y0")
 
 
 def _inside(x: Column, y: Column, sides: Column) -> Column:

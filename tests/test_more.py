@@ -96,3 +96,13 @@ def test_reducers(spark):
     for bad in (lambda: cluster.reduced(d, cfg), lambda: cluster.reduced(d, config.ReducerConfig("pca", 3), state=state), lambda: cluster.reduced(d, config.ReducerConfig("pca", 2, state_from="x"))):
         with pytest.raises(ValueError):
             bad()
+
+
+@pytest.mark.parametrize(("low", "stride", "want"), [(106.03, 50.0, [(0, 0), (1, 2), (1, 3)])])
+def test_tiles_of_cells_whose_distance_rounds_below_a_side(spark, low, stride, want):
+    from mosaica.operators import units
+
+    k = want[-1][1]
+    cells = spark.createDataFrame([("u", 0, low, 0.0), ("u", 1, low + k * stride, 0.0)], "region_id string, cell_id long, x double, y double")
+    got = units.grid_tiles(cells, 100.0, stride).select("cell_id", "ix").collect()
+    assert sorted(map(tuple, got)) == want
