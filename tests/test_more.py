@@ -98,7 +98,7 @@ def test_reducers(spark):
             bad()
 
 
-@pytest.mark.parametrize(("low", "stride", "want"), [(106.03, 50.0, [(0, 0), (1, 2), (1, 3)])])
+@pytest.mark.parametrize(("low", "stride", "want"), [(28.01, 100.0, [(0, 0), (1, 1)]), (106.03, 50.0, [(0, 0), (1, 2), (1, 3)])])
 def test_tiles_of_cells_whose_distance_rounds_below_a_side(spark, low, stride, want):
     from mosaica.operators import units
 
