@@ -583,3 +583,20 @@ def test_pairs_are_found_among_many_half_alike_documents(spark):
     want = {1_001 + 2 * k for k in range(30) if alike(1_000 + 2 * k, 1_001 + 2 * k) >= 0.8}
     got = {x.doc_id: x.component_id for x in minhash.near_duplicates(docs(spark, rows), shingle=2).collect()}
     assert len(want) > 20 and {i for i, c in got.items() if c != i} == want
+
+
+def test_batches_of_dealt_vectors_are_bounded(spark):
+    import numpy as np
+
+    from mosaica.llm import embed_dedup
+
+    n, width = 3000, 512
+    v = spark.createDataFrame([(i, 1, bytes(width), 0) for i in range(n)], "id long, m long, v binary, cell long").coalesce(1)
+    assert sum(s.stop - s.start for s in embed_dedup._slices(10 * 8192, width)) == 10 * 8192
+    assert all(s.stop - s.start <= embed_dedup.BATCH_BYTES // width for s in embed_dedup._slices(100_000, width))
+    dealt = embed_dedup.deal(v, v, {0: (n, n)}, 10, width).select("side", "id", "i", "j").toPandas()
+    parts = -(-n // embed_dedup._block(n, 10))
+    assert parts == -(-n // 40) and len(dealt) == 2 * n * parts  # a large cell has blocks four times as large
+    homes, visits = dealt[dealt["side"] == 0], dealt[dealt["side"] == 1]
+    assert (np.bincount(homes["id"]) == parts).all() and (np.bincount(visits["id"]) == parts).all()
+    assert homes.groupby("id")["i"].nunique().max() == 1 and visits.groupby("id")["j"].nunique().max() == 1
