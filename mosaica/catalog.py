@@ -361,8 +361,7 @@ def ego_radius(spark, d):
 @query(ORACLES["ego_radius"].replace("ego.root_id % 5 = 0 AND ", ""))
 def ego_radius_all_roots(spark, d):
     c = _cells(spark, d)
-    e = _edges(c)
-    return graph.ego_radius(graph.ego_nodes(e, c, 2), e, c, 2, 15.0, 15.0)
+    return graph.ego_radius_in_units(graph.delaunay_edges(c), c, c, 2, 15.0, 15.0)
 
 
 _HULL = """, pr AS (SELECT a.unit_id, a.cell_id AS src, b.cell_id AS dst, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS yb FROM cells a JOIN cells b ON a.unit_id = b.unit_id AND a.cell_id < b.cell_id),
