@@ -627,7 +627,7 @@ def large_cross_l(spark, d):
 
 @query()
 def large_windows(spark, d):
-    return rounded(stats.window_composition(fixture.large_cells(spark, d), 10).groupBy("unit_id", "t").agg(F.avg("share").alias("share")))
+    return rounded(stats.window_composition_in_tiles(fixture.large_cells(spark, d), 10).groupBy("unit_id", "t").agg(F.avg("share").alias("share")))
 
 
 @query()
