@@ -106,3 +106,20 @@ def test_tiles_of_cells_whose_distance_rounds_below_a_side(spark, low, stride, w
     cells = spark.createDataFrame([("u", 0, low, 0.0), ("u", 1, low + k * stride, 0.0)], "region_id string, cell_id long, x double, y double")
     got = units.grid_tiles(cells, 100.0, stride).select("cell_id", "ix").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_tiles_of_cells_on_sides_are_those_of_the_sql(spark, tmp_path):
+    """Cells whose distances from the corner are whole numbers of strides but for rounding, in both directions."""
+    import duckdb
+
+    from mosaica import catalog
+
+    c = duckdb.connect()
+    c.execute(
+        "create view events as select u * 100 + k as event_id, timestamp '2024-01-01' + to_minutes(u * 7 + (k // 10) * 6000 + (k % 2) * u) as ts, u as user_id, "
+        "'view' as event_type, round(u * 1.37 % 50, 2) + (k % 10) * 30 as value, '{\"k\": 1}' as props from range(0, 300) a(u), range(0, 20) b(k)"
+    )
+    c.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    for name in ("grid_tiles", "grid_tiles_overlap", "grid_tiles_gaps"):
+        got = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert len(got) and got == sorted(c.execute(catalog.ORACLES[name]).fetchall()), name
