@@ -617,7 +617,7 @@ def clr_shares(spark, d):
 
 @query()
 def large_delaunay(spark, d):
-    return graph.delaunay_edges(fixture.large_cells(spark, d)).groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    return graph.delaunay_edges_in_tiles(fixture.large_cells(spark, d)).groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 @query()
