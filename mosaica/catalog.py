@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mosaica.config import ClusteringConfig, SamplerConfig
 from mosaica.functions.scalars import NUDGE, l2_normalised, log_distance, niche_name, normal_two_sided_sql, safe_name, tidy
-from mosaica.operators import attribution, cluster, graph, metrics, niches, replicate, splits, stats, survival, testing, units
+from mosaica.operators import attribution, cluster, graph, interior, metrics, niches, replicate, splits, stats, survival, testing, units
 from mosaica.sources import fixture, readers
 from mosaica.sources.fixture import CELLS_SQL, EDGES_SQL, ENDS_SQL, HEAD_BIAS, OUTCOMES_SQL, SCORES_SQL
 
@@ -632,8 +632,7 @@ def large_windows(spark, d):
 
 @query()
 def large_interior(spark, d):
-    c = fixture.large_cells(spark, d)
-    return graph.interior_cells(c, _edges(c), 4).groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_cells"))
+    return interior.interior_cells_in_tiles(fixture.large_cells(spark, d), 4).groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
 # ---- tests ---------------------------------------------------------------------------------------------------------
