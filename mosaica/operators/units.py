@@ -29,11 +29,12 @@ def grid_tiles(cells: DataFrame, size: float, stride: float | None = None, regio
     Tiles are half-open squares anchored at the region's least coordinates. A
     stride below the size makes them overlap and a cell falls into several; a
     larger one loses cells. Tiles without cells get no number; numbers run by
-    ix, then iy, before any filter on their size.
+    ix, then iy, before any filter on their size. Cells without a region are in
+    no tile.
     """
     stride = stride or size
     w = Window.partitionBy(region)
-    box = cells.withColumn("__x0", F.min("x").over(w)).withColumn("__y0", F.min("y").over(w))
+    box = cells.where(F.col(region).isNotNull()).withColumn("__x0", F.min("x").over(w)).withColumn("__y0", F.min("y").over(w))
     out = box
     for v, i in (("x", "ix"), ("y", "iy")):
         out = out.withColumn(i, F.explode(_steps(v, F.col(f"__{v}0"), size, stride)))

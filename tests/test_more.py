@@ -123,3 +123,18 @@ def test_tiles_of_cells_on_sides_are_those_of_the_sql(spark, tmp_path):
     for name in ("grid_tiles", "grid_tiles_overlap", "grid_tiles_gaps"):
         got = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
         assert len(got) and got == sorted(c.execute(catalog.ORACLES[name]).fetchall()), name
+
+
+def test_cells_without_a_region_or_position_have_no_tile_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    from mosaica import catalog
+
+    c = duckdb.connect()
+    c.execute(
+        "create view events as select k as event_id, timestamp '2024-01-01' + to_minutes(k * 7) as ts, case when k % 3 > 0 then k % 2 end as user_id, "
+        "'view' as event_type, case when k % 7 > 0 then k * 4.1 when k % 2 = 0 then 'nan'::double end as value, '{\"k\": 1}' as props from range(0, 90) b(k)"
+    )
+    c.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = sorted(map(tuple, catalog.QUERIES["grid_tiles"](spark, str(tmp_path)).collect()), key=str)
+    assert len(got) and got == sorted(c.execute(catalog.ORACLES["grid_tiles"]).fetchall(), key=str)
